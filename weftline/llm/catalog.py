@@ -11,6 +11,7 @@ from weftline.functions.keys import norm_key
 from weftline.llm.consensus import Consensus, consensus
 from weftline.llm.packing import fill_rates, pack
 from weftline.llm.pairs import describe_pairs, find_defects
+from weftline.llm.pii import find_personal, replace_personal
 from weftline.llm.secrets import find_credentials, redact_credentials
 from weftline.llm.tokens import count_tokens, decode_ids, encode_texts
 from weftline.sources.tables import table
@@ -85,7 +86,17 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_rates(p8_packed(spark, sf_dir), table(spark, sf_dir, "container_sizes"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_redacted, p3_found, p3_items, p3_members, p7_ids, p7_decoded, p8_packed, p8_fill)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 9: lines on which personal information begins, by type."""
+    return find_personal(table(spark, sf_dir, "documents"))
+
+
+def p9_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 9: every document with typed placeholders, and with surrogates."""
+    return replace_personal(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_redacted, p3_found, p3_items, p3_members, p7_ids, p7_decoded, p8_packed, p8_fill, p9_found, p9_replaced)}
 
 SQL = {
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
