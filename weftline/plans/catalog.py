@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import problems
+from weftline.plans import business, problems, store
 
-MODULES = (problems,)
+REGISTRIES = (business.registry, store.registry)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
+    return problems.QUERIES | {name: query for r in REGISTRIES for name, query in r.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in MODULES for name, sql in module.SQL.items()}
+    return problems.SQL | {name: sql for r in REGISTRIES for name, sql in r.sql.items()}
