@@ -19,7 +19,7 @@ SEVERITIES = ["CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"]
 _SEV = "nullif(upper(trim(severity)), '')"
 _RANK = "CASE sev WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 WHEN 'INFO' THEN 4 ELSE 5 END"
 _F = f"f AS (SELECT row_id, {k('run_id')} AS run, {k('fingerprint')} AS fp, rule_id AS rule, path, line, {_SEV} AS sev, ingested_at FROM findings)"
-_T = f"t AS (SELECT fp, arg_max(state, (updated_at, row_id)) AS state, max(updated_at) AS at FROM (SELECT {k('fingerprint')} AS fp, replace(replace(lower(trim(state)), '-', '_'), ' ', '_') AS state, updated_at, row_id FROM triage) WHERE fp IS NOT NULL GROUP BY fp)"
+_T = f"t AS (SELECT fp, arg_max(state, (updated_at, row_id)) AS state, arg_max(updated_at, (updated_at, row_id)) AS changed_at FROM (SELECT {k('fingerprint')} AS fp, replace(replace(lower(trim(state)), '-', '_'), ' ', '_') AS state, updated_at, row_id FROM triage) WHERE fp IS NOT NULL GROUP BY fp)"
 
 
 def rank_of(column: str) -> F.Column:
@@ -49,7 +49,7 @@ def run_reports(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_F}, {_T}, now AS (SELECT max(ingested_at) AS ts FROM findings), s AS (SELECT fp, at + INTERVAL 180 DAY AS expires FROM t WHERE state = 'false_positive')
+    f"""WITH {_F}, {_T}, now AS (SELECT max(ingested_at) AS ts FROM findings), s AS (SELECT fp, changed_at + INTERVAL 180 DAY AS expires FROM t WHERE state = 'false_positive')
     SELECT f.row_id, t.state, s.fp IS NOT NULL AS suppressed FROM f CROSS JOIN now LEFT JOIN t ON f.fp = t.fp LEFT JOIN s ON f.fp = s.fp AND s.expires > now.ts"""
 )
 def findings_annotated(spark: SparkSession, sf: str) -> DataFrame:
@@ -165,7 +165,7 @@ def detection_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT row_id, array_to_string(list_sort(list_distinct(d)), ',') AS detected_set, list_contains(d, expected_rule) AS hit, CAST(len(list_distinct(list_filter(d, x -> x <> expected_rule))) AS INTEGER) AS others
+    """SELECT row_id, array_to_string(list_sort(list_distinct(d)), ',') AS detected_set, list_contains(d, expected_rule) AS hit, CAST(len(list_distinct(list_filter(d, lambda x: x <> expected_rule))) AS INTEGER) AS others
     FROM (SELECT row_id, expected_rule, CAST(from_json(detected_rules, '["VARCHAR"]') AS VARCHAR[]) AS d FROM examples)"""
 )
 def example_rule_sets(spark: SparkSession, sf: str) -> DataFrame:
@@ -190,7 +190,7 @@ def most_detected_rules(spark: SparkSession, sf: str) -> DataFrame:
     pairs AS (SELECT run_id, before, root FROM snap WHERE back = 1 AND before IS NOT NULL AND profile = before_profile),
     side AS (SELECT p.root, fp, 1 AS cur, 0 AS old FROM pairs p JOIN fps ON run = p.run_id UNION ALL SELECT p.root, fp, 0, 1 FROM pairs p JOIN fps ON run = p.before),
     m AS (SELECT root, fp, max(cur) AS cur, max(old) AS old FROM side GROUP BY ALL)
-    SELECT root, count_if(cur = 1 AND old = 1) AS persistent, count_if(cur = 1 AND old = 0) AS new, count_if(cur = 0 AND old = 1) AS resolved FROM m GROUP BY root"""
+    SELECT root, CAST(count_if(cur = 1 AND old = 1) AS BIGINT) AS persistent, CAST(count_if(cur = 1 AND old = 0) AS BIGINT) AS new, CAST(count_if(cur = 0 AND old = 1) AS BIGINT) AS resolved FROM m GROUP BY root"""
 )
 def run_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
     """O-3: persistent, new and resolved fingerprints of the last two runs of each root, only where their profiles agree."""
