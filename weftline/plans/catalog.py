@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import business, evaluation, problems, store
+from weftline.plans import business, corpora, evaluation, problems, store
 
-REGISTRIES = (business.registry, store.registry, evaluation.registry)
+REGISTRIES = (business.registry, store.registry, evaluation.registry, corpora.registry)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
