@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import ship
+from weftline.session import cut, ship
 
 #: Expected items of a group.
 GROUP_ITEMS = 4096
@@ -83,7 +83,8 @@ def pack(items: DataFrame, containers: DataFrame, *, item: str = "doc_id", size:
         raise ValueError("containers are a list of at most 1000 settings with positive capacities")
     kinds.sort(key=str)
     chosen = items.select(F.col(item).cast("long").alias("doc_id"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("tokens"))
-    groups = max(1, math.ceil(items.count() / group_items))
+    chosen = cut(chosen)  # sizes are costly to come by, and both the number of groups and the groups need them
+    groups = max(1, math.ceil(chosen.count() / group_items))
     grouped = chosen.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(groups)).cast("int"))
 
     def fill(table: pa.Table) -> pa.Table:
