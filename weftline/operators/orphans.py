@@ -79,7 +79,8 @@ class KeyFilter:
                 found &= (own[positions >> np.uint64(3)] >> (positions & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
             return pd.Series(found)
 
-        return probe(F.xxhash64(column))
+        # not deterministic to the planner, which would otherwise ask for every row below the reduction to keys
+        return probe.asNondeterministic()(F.xxhash64(column))
 
 
 def parent_keys(parent: DataFrame, key: str) -> DataFrame:
