@@ -13,7 +13,10 @@ from weftline.operators import joins as J
 from weftline.operators import windows as W
 from weftline.plans.problems import _sql_key as k
 from weftline.plans.registry import Registry
+from weftline.sources.files import schema_profile, sql_statements
+from weftline.sources.sinks import from_sarif, to_bill, to_sarif
 from weftline.sources.tables import table
+from weftline.streaming import events as S
 
 registry = Registry()
 query = registry.query
@@ -289,3 +292,57 @@ def name_resolution(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part").select("p_partkey", "p_name")
     wanted = part.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(" x"))).otherwise(F.col("p_name")).alias("name"))
     return J.unique_match(wanted, "id", "name", part, "p_partkey", "p_name")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS events, round(sum(value), 2) AS value FROM events GROUP BY ALL")
+def stream_hourly_events(spark: SparkSession, sf: str) -> DataFrame:
+    """R-7: the tumbling windows as a stream that runs to the end of its files; complete mode, so no window stays open."""
+    out = S.to_table(S.hourly(S.read_events(spark, sf)), "complete")
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "events", "value")
+
+
+@query("SELECT count(*) AS events, count(DISTINCT user_id) AS users FROM events")
+def stream_distinct_events(spark: SparkSession, sf: str) -> DataFrame:
+    """R-7: repeated events dropped within the watermark."""
+    return S.to_table(S.distinct_events(S.read_events(spark, sf)), "append").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("user_id").alias("users"))
+
+
+@query("SELECT user_id, count(*) AS events, round(CASE WHEN count(*) > 1 THEN (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 / (count(*) - 1) END, 4) AS mean_gap FROM events GROUP BY user_id")
+def stream_gap_state(spark: SparkSession, sf: str) -> DataFrame:
+    """R-5: gaps kept as state of each user."""
+    return S.to_table(S.gap_state(S.read_events(spark, sf)), "update").select("user_id", "events", F.round("mean_gap", 4).alias("mean_gap"))
+
+
+@query("SELECT p.event_id AS purchase, c.event_id AS click FROM events p JOIN events c ON p.user_id = c.user_id AND c.ts <= p.ts AND c.ts >= p.ts - INTERVAL 1 HOUR WHERE p.event_type = 'purchase' AND c.event_type = 'click'")
+def stream_click_join(spark: SparkSession, sf: str) -> DataFrame:
+    """R-7: two streams joined with time bounds."""
+    return S.to_table(S.clicks_before_purchases(S.read_events(spark, sf)), "append")
+
+
+@query("SELECT rule_id AS rule, path, CAST(line AS INTEGER) AS line, CASE WHEN upper(trim(severity)) IN ('CRITICAL', 'HIGH') THEN 'error' WHEN upper(trim(severity)) = 'MEDIUM' THEN 'warning' ELSE 'note' END AS level FROM code_findings WHERE kind = 'CIFinding' AND rule_id IS NOT NULL AND path IS NOT NULL AND line IS NOT NULL")
+def sarif_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """SNK-3: findings to reports and back."""
+    rows = table(spark, sf, "code_findings").where("kind = 'CIFinding' and rule_id is not null and path is not null and line is not null")
+    rows = rows.select(F.col("category").alias("run"), F.col("rule_id").alias("rule"), "path", "line", F.upper(F.trim("severity")).alias("sev"), F.col("description").alias("message"))
+    return from_sarif(to_sarif(rows, "weftline"), "sarif").select("rule", "path", "line", "level")
+
+
+@query("""SELECT p_brand AS project, '{"bomFormat":"CycloneDX","specVersion":"1.5","version":1,"components":[' || string_agg('{"type":"library","name":"' || name || '","version":"' || v || '"}', ',' ORDER BY name, v) || ']}' AS bill
+    FROM (SELECT DISTINCT p_brand, 'pkg' || p_partkey % 7 AS name, CAST(p_size % 3 AS VARCHAR) AS v FROM part) GROUP BY p_brand""")
+def component_bills(spark: SparkSession, sf: str) -> DataFrame:
+    """SNK-4: a bill of components for each project."""
+    deps = table(spark, sf, "part").select(F.col("p_brand").alias("project"), F.concat(F.lit("pkg"), (F.col("p_partkey") % 7).cast("string")).alias("name"), (F.col("p_size") % 3).cast("string").alias("version"))
+    return to_bill(deps, "project")
+
+
+@query("SELECT table_name AS \"table\", column_index AS position, column_name AS \"column\" FROM (SELECT 'lineitem' AS table_name, CAST(ordinality - 1 AS INTEGER) AS column_index, column_name FROM (SELECT unnest(['l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber', 'l_quantity', 'l_extendedprice', 'l_discount', 'l_tax', 'l_returnflag', 'l_linestatus', 'l_shipdate']) AS column_name, unnest(range(1, 12)) AS ordinality))")
+def table_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-10: the columns of a table without reading a row."""
+    return schema_profile(table(spark, sf, "lineitem"), "lineitem").select("table", "position", "column")
+
+
+@query()
+def sql_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-11: statements in SQL texts by what they do."""
+    blobs = table(spark, sf, "blobs").where(F.upper("payload").startswith("SELECT")).select("row_id", "payload")
+    return sql_statements(blobs, "row_id", "payload")
