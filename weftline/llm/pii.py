@@ -248,7 +248,7 @@ def _names(text: str, taken: list[tuple[int, int]], start: int, stop: int) -> li
     for m in INTRODUCTIONS.finditer(text, start, stop):
         name = _trim_last(text, m.group("name"))
         words = name.split(" ")
-        if len(words) >= 2 and not any(w.lower() in STARTERS or w.lower() in THINGS for w in words if not re.fullmatch(PARTICLE, w)) and not all(w.isupper() and "." not in w for w in words if len(w) < 5):
+        if len(words) >= 2 and not any(w.lower() in STARTERS or w.lower() in THINGS for w in words if not re.fullmatch(PARTICLE, w)) and not all(w.isupper() and len(w) < 5 for w in words):
             add(m.start("name"), m.start("name") + len(name))
     found.sort(key=lambda i: (i.start, -i.end))
     out: list[Item] = []
