@@ -54,11 +54,13 @@ LISTED = re.compile(r"\bname:\s*(?P<q>[\"']?)(?P<name>[\w.-]{2,80})(?P=q)[ \t]*\
 DEFAULTED = re.compile(r"\bvariable\s+\"(?P<name>[\w-]{2,80})\"\s*\{[^{}]*?\bdefault\s*=\s*\"(?P<secret>[^\"\n]{3,400})\"")
 EMBEDDED_DEFAULT = re.compile(r"\$\{(?P<name>[A-Za-z_][\w.-]{1,80}):-?(?P<secret>[^\s${}\"'`]{4,200})\}")
 CONFIGURE = re.compile(r"\b(?:configure\s+set|config\s+set|config(?:\s+--global)?|setx|set-secret|secrets?\s+set|setenv|env\s+set)\s+(?P<name>[A-Za-z][\w.:/-]{2,80})[ =]+(?P<q>[\"']?)(?P<secret>[^\s'\"]{4,200})(?P=q)")
-PIPED = re.compile(r"\becho\s+(?:-n\s+)?(?P<q>['\"]?)(?P<secret>[^\s'\"|:$]{8,400})(?P=q)\s*\|[^\n]*(?:--with-token|--password-stdin|\blogin\b|\bpasswd\b|\bsecrets? (?:set|create|add)\b)")
+STORED_LOGIN = re.compile(r"[\"']auth[\"']\s*:\s*[\"'](?P<secret>[A-Za-z0-9+/]{8,}={0,2})[\"']")
+PASSWORD_FILE = re.compile(r"(?<![\w/.])[\w.*-]+:(?:\d{2,5}|\*):[\w.*-]+:[\w.@-]+:(?P<secret>[^\s'\":]{4,120})")
+PIPED = re.compile(r"\becho\s+(?:-n\s+)?(?P<q>['\"]?)(?P<secret>[^\s'\"|:$][^\s'\"|:]{4,400})(?P=q)\s*\|[^\n]*(?:--with-token|\bsudo\s+(?:-\w+\s+)*-S|--passphrase-fd|--stdin|\bkinit\b|--password-stdin|\blogin\b|\bpasswd\b|\bsecrets? (?:set|create|add)\b)")
 REMARKED = re.compile(r"^[ \t]*[\"']?(?:default|value|val|data|content|key)[\"']?[ \t]*[:=][ \t]*(?P<q>[\"'])(?P<secret>[^\"'\n]{4,400})(?P=q)[^\n#/]*(?:#|//)[^\n]*\b(?:password|passphrase|secret|token|api[ _-]?key|private key|credentials?)\b", re.MULTILINE | re.IGNORECASE)
 NOTED = re.compile(r"^[ \t]*(?:#|//|;|--|/?\*+|<!--|REM)[^\n]*\b(?:logins?|credentials?|creds|accounts?|password|sign-?in|access)\b[^\n:]{0,60}:[ \t]*(?P<user>[A-Za-z0-9_.@-]{2,60})(?:[ \t]*/[ \t]*|[ \t]+(?:with|and)[ \t]+|:[ \t]?)(?P<secret>[^\s'\"`/]{5,120})", re.MULTILINE | re.IGNORECASE)
 SPOKEN = re.compile(r"\b(?P<name>passwords?|passwd|pwd|passphrase|secret|token|api[ _-]?key|access key|credentials?|pass)\b(?:\s+(?:is|was|are|for\s+\S+(?:\s+\S+)?\s+is)\s*:?|\s+now)\s+(?P<q>['\"`]?)(?P<secret>[^\s'\"`,;]{5,200})", re.IGNORECASE)
-LOGIN_LINE = re.compile(r"^\s*(?:machine\s+\S+\s+)?(?:login\s+\S+\s+)?(?P<name>password|passwd|requirepass|masterauth|pass)\s+(?P<q>['\"]?)(?P<secret>[^\s'\"]{5,200})(?P=q)\s*$|\bmachine\s+\S+\s+login\s+\S+\s+password\s+(?P<secret2>\S{4,200})", re.MULTILINE)
+LOGIN_LINE = re.compile(r"^\s*(?:machine\s+\S+\s+)?(?:login\s+\S+\s+)?(?P<name>password|passwd|requirepass|masterauth|pass)\s+(?P<q>['\"]?)(?P<secret>[^\s'\"]{5,200})(?P=q)\s*$|\bmachine\s+\S+\s+login\s+\S+\s+password\s+(?P<secret2>[^\s'\"]{4,200})", re.MULTILINE)
 BARE = re.compile(
     r"^(?P<lead>[ \t]*(?:(?:#|//|;|--|/?\*+|<!--|REM|%)[ \t]*)?(?:-[ \t]+)?(?:(?:export|set|ENV|ARG|local|declare(?:\s+-\w+)?|readonly|setenv|env|Environment=)[ \t]*)?(?:[\"']?)(?:TODO[^:\n]*:[ \t]*|FIXME[^:\n]*:[ \t]*|old[ \t]+|temp(?:orary)?[ \t]+)?)(?P<name>[A-Za-z_$][\w.$-]{1,80})(?P<q0>[\"']?)(?P<op>[ \t]*(?:=|:=|:)[ \t]*|[ \t]+)(?P<secret>[^\s\"'`=][^\s\"'`]*)(?P<rest>[^\n]*)$",
     re.MULTILINE,
@@ -96,6 +98,12 @@ REFERENCE = re.compile(
     \.(?:pem|key|crt|cer|txt|json|ya?ml|env|p12|jks|pfx|pub|ini|conf|properties|py|js|go|java|rb|sh)$|^ssh-(?:rsa|ed25519|dss)|^ecdsa-|-----BEGIN|^AAAA[BCE]3"""
 )
 CODE = frozenset("py js jsx ts tsx go java kt c h cc cpp hpp cs rb rs php swift scala m mm lua pl".split())
+# Frequent pairs of letters; words are made of them, random letters are not.
+PAIRS = frozenset(
+    """th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur ro ri io me ll ne co ma ec el us ss ic om la li nc ta ce ch ol ut ns ca tr di be ac rs ie sh pe no wo so pa ul mo id im em
+    un wa po ke am we ai os ay ee wh tu up na ad ge mi ir il oo ot ho ow ly pl ef op iv ts ty ev ck ap bo av gh ig ct do fi wi pr pi su fo ex sp cr gr ag ga lo bl ob ab go da ba""".split()
+)
+UNSPEAKABLE = re.compile(r"(?i)[bcdfghjklmnpqrstvwxz]{5,}")
 WORDS_OF = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -156,7 +164,7 @@ def usable(value: str, strength: int = 2, quoted: bool = True) -> bool:
         return quoted and strength == 2 and 5 <= n <= 12
     if not (digit or special):
         # letters only: random if the case changes more often than between the words of a name
-        return n >= 9 and upper and lower and v.isalpha() and n / len(WORDS_OF.findall(v)) < 2.8 and entropy(v) > 2.8
+        return n >= 8 and upper and lower and v.isalpha() and entropy(v) > 2.6 and bool(n / len(WORDS_OF.findall(v)) < 2.8 or UNSPEAKABLE.search(v) or sum(a + b in PAIRS for a, b in zip(v.lower(), v.lower()[1:], strict=False)) < 0.42 * (n - 1))
     if not (upper or lower):
         return False
     if re.fullmatch(r"[a-z0-9_.-]+(?:/[a-z0-9_.{}-]+)+/?", v) or re.fullmatch(r"[\w.-]+\(.*", v) or v.endswith("()"):
@@ -225,6 +233,8 @@ def _assigned(text: str) -> list[Secret]:
             i = j
             continue
         strength = _context(tokens, i, j, text)
+        if strength == GUESSED:
+            strength = 2 if len(value) >= 8 and any(c.isdigit() for c in value) and entropy(value) > 2.8 else 0
         if strength and spans[0][1] > spans[0][0] and usable(value, strength):
             out.append(Secret(spans[0][0], tuple(spans), "assigned"))
         i = j
@@ -236,6 +246,13 @@ def _opened(tokens: list, i: int) -> bool:
 
 
 CALLS = re.compile(r"(?i)(?:basic_?auth|credentials?|set_?basic|authenticate|userpwd|password_?auth|login|sign_?in|auth(?:orize)?|plain_?auth|connect|http_?digest)$")
+#: A literal that a guess is compared with: it counts if it looks like a secret.
+GUESSED = 3
+GUESSES = re.compile(r"(?i)^(?:given|input|entered|supplied|provided|attempt|guess|candidate|typed|presented|answer|submitted|received)\w*$")
+COMPARERS = re.compile(r"(?i)(?:strn?cmp|strcasecmp|strncasecmp|compare_digest|timingsafeequal|constanttimecompare|secure_compare|hash_equals|memcmp|fixedtimeequals|equals|isequal)$")
+SIGNERS = re.compile(r"(?i)(?:jwt\.(?:sign|verify|encode|decode)|jws?\.\w+|jwt_encode|jwt_decode|create_?hmac|hash_hmac|hmac\.(?:sign|verify)|signwith|setsigningkey)$")
+KEYED = re.compile(r"(?i)(?:hmac\.(?:new|digest)|hmac|fernet|secretkeyspec|aes\.new|hmac_?sha\d+|signing_?key|signwith|setsigningkey|symmetricsecuritykey)$")
+CONNECTORS = re.compile(r"(?i)(?:get_?connection|create_?connection|connect|open_?connection|login|driver|datasource|pdo|smtp|imap|ftp|mysqli|dial|authenticate)$")
 WRAPPERS = re.compile(r"(?i)(?:^|[.:>])(?:b64decode|decode|from_?base64(?:string)?|atob|unhexlify|fromhex|bytes|bytearray|str|string|secretstr|sensitive|quote|strip|encode|buffer\.from|base64_decode|decodestring|new|some|ok|ptr|pointer|box|optional|of|valueof|to_owned|to_string|fn|cstr|sha256|secret_?string|securestring|key)$")
 FALLBACKS = re.compile(r"(?i)(?:getenv|environ\.get|env\.get|env::var|get|getordefault|getproperty|lookup|fetch|getenvdefault|getstring|env|config|default|getattr|pop|setdefault|getparameter|option)$")
 SETTERS = re.compile(r"(?i)(?:setenv|put|setproperty|set|setitem|append|add|header|setheader|addheader|setrequestheader|define|putenv|store|insert|setattr|setattribute|adding|with|property|argument|queryparam|param|option|environ|update|setstring|register|config|configure|entry|pair|of)$")
@@ -243,6 +260,9 @@ SETTERS = re.compile(r"(?i)(?:setenv|put|setproperty|set|setitem|append|add|head
 
 def _context(tokens: list, i: int, after: int, text: str) -> int:
     """The strength of the name that the literal at `i` stands for, 0 for none."""
+    end = tokens[i][2] + len(tokens[i][1])
+    if m := re.match(r"\s*\.(?:equals(?:IgnoreCase)?|compareTo|contentEquals|eql\?|equal\?)\(\s*([A-Za-z_]\w*)", text[end : end + 80]):
+        return name_strength(m.group(1)) or (GUESSED if GUESSES.match(m.group(1)) else 0)
     k = i - 1
     skipped = 0
     while k >= 0 and tokens[k][0] == "line":
@@ -271,12 +291,18 @@ def _context(tokens: list, i: int, after: int, text: str) -> int:
         if before is None:
             return 0
         name = before[1]
+        if caller and SIGNERS.search(caller) and position in (1, 2):
+            return 2
+        if caller and COMPARERS.search(caller) and position == 1 and before[0] == "name":
+            return name_strength(name) or (GUESSED if GUESSES.match(name) else 0)
         if before[0] == "string":
             a, b = _inner(name)
             key = name[a:b]
             if caller and (SETTERS.search(caller) or FALLBACKS.search(caller)):
                 if s := name_strength(key):
                     return s
+            if caller and CONNECTORS.search(caller) and position == 2 and re.fullmatch(r"[\w.@\\-]{1,60}", key):
+                return 2
             if caller and CALLS.search(caller) and position == 1 and re.fullmatch(r"[\w.@\\-]{1,60}", key):
                 return 2
             if not caller and tokens[p][1] == "(" and p > 0 and re.search(r"(?i)auth\w*\s*[=:]\s*$", text[: tokens[p][2]][-30:]):
@@ -292,6 +318,8 @@ def _context(tokens: list, i: int, after: int, text: str) -> int:
         if t in ("(", "[", "{"):
             if k > 0 and tokens[k - 1][0] == "name":
                 caller = tokens[k - 1][1]
+                if t == "(" and KEYED.search(caller):
+                    return 2
                 if t == "(" and WRAPPERS.search(caller):
                     k -= 2
                     wrapped += 1
@@ -333,6 +361,8 @@ def _context(tokens: list, i: int, after: int, text: str) -> int:
                 if s:
                     best = s
                     break
+                if t in ("==", "===") and GUESSES.match(token):
+                    return GUESSED
                 nxt = tokens[p - 1][1] if p else ""
                 if nxt in (":", "|", "[", "<", "&", "*") or steps == 0 and nxt in ("]",):
                     p -= 1
@@ -401,10 +431,13 @@ def find_secrets(text: str | None, path: str | None = None) -> list[Secret]:
             kind, v = m.group("kind").lower(), m.group("secret")
             if kind == "basic" and _basic(v) or kind == "bearer" and usable(v, 1) or kind in ("token", "apikey") and "authorization" in low and usable(v, 1):
                 _add(found, "header", m.start("secret"), m.end("secret"))
-    for pattern in (USER_OPTION, CHPASSWD, PASS_COMMANDS, PIPED, REMARKED, NOTED):
+    for pattern in (USER_OPTION, CHPASSWD, PASS_COMMANDS, PIPED, REMARKED, NOTED, PASSWORD_FILE):
         for m in pattern.finditer(text):
             if usable(m.group("secret")):
                 _add(found, "command", m.start("secret"), m.end("secret"))
+    for m in STORED_LOGIN.finditer(text):
+        if _basic(m.group("secret")):
+            _add(found, "header", m.start("secret"), m.end("secret"))
     found += _assigned(text)
     ending = (path or "").rsplit(".", 1)[-1].lower() if "." in (path or "").rsplit("/", 1)[-1] else ""
     for pattern in (NAMED_ARGUMENT, CONFIGURE, EMBEDDED_DEFAULT, LISTED, DEFAULTED, CONNECTION, ELEMENT):
