@@ -95,7 +95,7 @@ REFERENCE = re.compile(
     ^(?:vault|secret|secrets|ssm|kms|env|op|file|ref|aws|gcp|azure|arn|keyring|keychain|credstash|sops|doppler|var|data|local|module|config|param|params|settings|process|os|self|this|args|opts|options|request|req|ctx|form|form_data|kwargs|cfg|conf)[:./\[]|://|
     ^ENC[\[(]|^\{cipher\}|^\{enc|^AQICAH|^gAAAAA|^\$ANSIBLE|^enc:|^encrypted:|^sealed|^age1|
     ^\$2[abxy]?\$|^\$[156]\$|^\$argon2|^pbkdf2|^\{S?SHA|^\{SSHA|^sha\d+[-:$]|^md5[:-]|^scrypt:|^bcrypt|^[0-9a-f]{32}:[0-9a-f]{8,}$|
-    \.(?:pem|key|crt|cer|txt|json|ya?ml|env|p12|jks|pfx|pub|ini|conf|properties|py|js|go|java|rb|sh)$|^ssh-(?:rsa|ed25519|dss)|^ecdsa-|-----BEGIN|^AAAA[BCE]3"""
+    ^(?:sha-?\d{1,3}(?:-\d+)?|md5|[hrep]s\d{3}|aes[-_]?\d+\S*|utf-?8|rsa-?\d+)$|\.(?:pem|key|crt|cer|txt|json|ya?ml|env|p12|jks|pfx|pub|ini|conf|properties|py|js|go|java|rb|sh)$|^ssh-(?:rsa|ed25519|dss)|^ecdsa-|-----BEGIN|^AAAA[BCE]3"""
 )
 CODE = frozenset("py js jsx ts tsx go java kt c h cc cpp hpp cs rb rs php swift scala m mm lua pl".split())
 # Frequent pairs of letters; words are made of them, random letters are not.
