@@ -155,6 +155,42 @@ def test_strong_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
 
 
+def test_spanning_forest(spark):
+    rnd = random.Random(8)
+    edges = [(rnd.randrange(20), rnd.randrange(20), float(rnd.randint(1, 9))) for _ in range(40)]
+    got = G.spanning_forest(spark.createDataFrame(edges, "src int, dst int, w double"), "w")
+    parent = list(range(20))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    total, count = 0.0, 0
+    for w, a, b in sorted((w, a, b) for a, b, w in edges if a != b):
+        if top(a) != top(b):
+            parent[top(a)] = top(b)
+            total, count = total + w, count + 1
+    rows = got.rows.collect()
+    assert got.converged and len(rows) == count and sum(r.weight for r in rows) == total
+
+
+def test_code_measures_windows_fusion_and_disagreements(spark):
+    from weftline.operators import code as K2
+
+    code = "def f(a, *b, c=1):\n    if a and b:\n        for x in b:\n            pass\n    return [y for y in b if y]\n"
+    rows = K2.function_metrics(spark.createDataFrame([(1, code), (2, "def broken("), (3, None)], "i int, t string"), "i", "t").collect()
+    assert [tuple(r) for r in rows] == [(1, "f", 1, 5, 5, 2, 3)]
+    got = K2.changed_windows(spark.createDataFrame([(1, "a\nb\nc", "a\nX\nc"), (2, "same", "same"), (3, None, "n")], "i int, x string, y string"), "i", "x", "y", size=2).collect()
+    assert {(r.i, r.label, r.line, r.window) for r in got if r.i == 1} == {(1, 1, 1, "a\nb"), (1, 1, 2, "b\nc"), (1, 0, 1, "a\nX"), (1, 0, 2, "X\nc")} and not [r for r in got if r.i == 2]
+    hits = spark.createDataFrame([("https://a", "q1", 1, 2), ("https://a", "q2", 10, 0), ("https://a", "q2", 11, 0), ("http://b", "q1", 60, 1)], "u string, q string, r int, o int")
+    assert {tuple(r) for r in C.fuse_ranks(hits, "u", "q", "r", "o").collect()} == {("https://a", (117 + 16 + 5 + 18 + 4) + 4, 2), ("http://b", 8, 1)}
+    words = ["w", "x", "y", "z"]
+    passages = [(1, "s", words, ["3"], False, 9), (2, "t", words, ["4"], False, 8), (3, "u", words, [], True, 7), (4, "s", ["q"], ["9"], True, 6)]
+    found = C.disagreements(spark.createDataFrame(passages, "i int, s string, w array<string>, n array<string>, x boolean, b int"), "i", "s", "w", "n", "x", best="b")
+    assert {tuple(r) for r in found.collect()} == {(1, 2, "numbers"), (1, 3, "negation"), (2, 3, "negation")}
+
+
 def test_partition_plans_and_chains(spark):
     items = spark.createDataFrame([(f"i{k}", float(k % 9)) for k in range(50)], "item string, cost double")
     plan = I.longest_first(items, "item", "cost", 4)

@@ -82,3 +82,36 @@ def group_split(df: DataFrame, group: str, seed: str, share: int = 80) -> DataFr
     """`df` with `part`: train or test by a hash of seed and group, so a group never lies in both. `share`: percent for train."""
     bits = F.conv(F.substring(F.sha2(F.concat_ws("\t", F.lit(seed), F.col(group).cast("string")), 256), 1, 8), 16, 10).cast("long")
     return df.withColumn("part", F.when(F.pmod(bits, F.lit(100)) < share, "train").otherwise("test"))
+
+
+def fuse_ranks(hits: DataFrame, url: str, query: str, rank: str, overlap: str) -> DataFrame:
+    """url, score, queries of hits from several searches: max(0, 120 - 3 rank) + 8 overlap + 5 for https, folded in the order of query and rank.
+
+    A further query adds 18; every further hit leaves the greater of both scores, plus 4. The hits of one address are few (one for each search
+    and rank), so they are folded inside a row.
+    """
+    own = F.greatest(F.lit(0), 120 - 3 * F.col(rank)) + 8 * F.col(overlap) + F.when(F.col(url).startswith("https:"), 5).otherwise(0)
+    rows = hits.groupBy(url).agg(F.array_sort(F.collect_list(F.struct(F.col(query).alias("q"), F.col(rank).alias("r"), own.cast("int").alias("s")))).alias("h"))
+    start = F.struct(F.lit(0).alias("score"), F.array().cast("array<string>").alias("seen"))
+
+    def step(acc: Column, hit: Column) -> Column:
+        new = ~F.array_contains(acc["seen"], hit["q"].cast("string"))
+        first = F.size(acc["seen"]) == 0
+        raised = F.greatest(acc["score"] + F.when(new, 18).otherwise(0), hit["s"]) + 4
+        return F.struct(F.when(first, hit["s"]).otherwise(raised).alias("score"), F.when(new, F.array_append(acc["seen"], hit["q"].cast("string"))).otherwise(acc["seen"]).alias("seen"))
+
+    folded = F.aggregate("h", start, step)
+    return rows.select(url, folded["score"].alias("score"), F.size(folded["seen"]).alias("queries"))
+
+
+def disagreements(passages: DataFrame, row: str, source: str, words: str, numbers: str, negated: str, *, best: str, top: int = 40, shared: int = 4) -> DataFrame:
+    """a, b, kind: pairs among the `top` best passages from different sources that share words but differ in numbers or negation.
+
+    The list is short by definition, so its pairs are formed; ties in `best` go to the smaller row.
+    """
+    short = passages.orderBy(F.desc(best), row).limit(top)
+    a = short.select(F.col(row).alias("a"), F.col(source).alias("sa"), F.col(words).alias("wa"), F.col(numbers).alias("na"), F.col(negated).alias("xa"))
+    b = short.select(F.col(row).alias("b"), F.col(source).alias("sb"), F.col(words).alias("wb"), F.col(numbers).alias("nb"), F.col(negated).alias("xb"))
+    both = a.join(F.broadcast(b), (F.col("a") < F.col("b")) & (F.col("sa") != F.col("sb"))).where(F.size(F.array_intersect("wa", "wb")) >= shared)
+    differ = (F.size("na") > 0) & (F.size("nb") > 0) & (F.array_sort("na") != F.array_sort("nb"))
+    return both.select("a", "b", F.when(differ, "numbers").when(F.col("xa") != F.col("xb"), "negation").alias("kind")).where("kind is not null")

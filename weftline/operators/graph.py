@@ -22,6 +22,12 @@ class Fixpoint:
     converged: bool
 
 
+def grown(known: DataFrame, fresh: DataFrame, rounds: int) -> DataFrame:
+    """Both together. The parts are cut already, so their union is cut itself only every eighth round."""
+    both = known.unionByName(fresh)
+    return cut(both) if rounds % 8 == 0 else both
+
+
 def reachable(edges: DataFrame, sources: DataFrame, *, src: str = "src", dst: str = "dst", max_rounds: int = 200) -> Fixpoint:
     """node, hops: everything reachable from `sources` (one column), with the least number of edges. Cycles end by themselves."""
     links = edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).where("_s is not null and _d is not null").distinct()
@@ -33,7 +39,7 @@ def reachable(edges: DataFrame, sources: DataFrame, *, src: str = "src", dst: st
         fresh = cut(found.join(seen.select(F.col("node").alias("_n")), F.col("node") == F.col("_n"), "left_anti").withColumn("hops", F.lit(rounds)))
         if fresh.isEmpty():
             return Fixpoint(seen, rounds, True)
-        seen, frontier = cut(seen.unionByName(fresh)), fresh
+        seen, frontier = grown(seen, fresh, rounds), fresh
     return Fixpoint(seen, rounds, False)
 
 
@@ -53,7 +59,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, *, src: str = "src", ds
         fresh = cut(found.join(seen.select(F.col("node").alias("_n")), F.col("node") == F.col("_n"), "left_anti"))
         if fresh.isEmpty():
             return Fixpoint(seen, rounds, True)
-        seen, frontier = cut(seen.unionByName(fresh)), fresh
+        seen, frontier = grown(seen, fresh, rounds), fresh
     return Fixpoint(seen, rounds, False)
 
 
@@ -95,36 +101,47 @@ def components(edges: DataFrame, *, src: str = "src", dst: str = "dst", max_roun
     return Fixpoint(labels, rounds, False)
 
 
+def _least_label(nodes: DataFrame, links: DataFrame, max_rounds: int) -> DataFrame:
+    """node, label: the least label among a node and all that reach it along `links` (s, d).
+
+    A label is (hash of a node, node). Whatever reaches a label's node reaches all that carry the label, so a node also takes
+    the label of its label's node, and distances halve every round.
+    """
+    marks = cut(nodes.select("node", F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("n")).alias("label")))
+    for _ in range(max_rounds):
+        pushed = links.join(marks, F.col("s") == F.col("node")).groupBy(F.col("d").alias("_d")).agg(F.min("label").alias("_p"))
+        step = marks.join(pushed, F.col("node") == F.col("_d"), "left").select("node", F.least("label", F.coalesce("_p", "label")).alias("label"), F.col("label").alias("_old"))
+        jump = step.select(F.col("node").alias("_j"), F.col("label").alias("_l"))
+        fresh = cut(step.join(jump, F.col("label.n") == F.col("_j"), "left").select("node", F.least("label", F.coalesce("_l", "label")).alias("label"), "_old"))
+        still = fresh.where("label <> _old").isEmpty()
+        marks = fresh.drop("_old")
+        if still:
+            break
+    return marks
+
+
 def strong_components(edges: DataFrame, *, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> Fixpoint:
     """node, component: strongly connected components, named by their least node.
 
-    In each round the least label that reaches a node becomes its colour; the nodes that reach the colour's own node inside the
-    colour are its component and leave. Nodes without an edge in or out leave beforehand as their own.
+    In each round every node learns the least label that reaches it and the least that it reaches. Where both are the same the node lies
+    in the component of that label's node and is done. A component never holds nodes with different pairs of labels, so only edges inside
+    a pair stay, which cuts the rest to pieces: the number of rounds is logarithmic in expectation.
     """
     links = edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s is not null and d is not null").distinct()
-    nodes = links.select(F.col("s").alias("node")).unionByName(links.select(F.col("d").alias("node"))).distinct()
-    left_nodes, left, done, rounds = cut(nodes), cut(links.where("s <> d")), None, 0
-    while rounds < max_rounds:
+    left_nodes = cut(links.select(F.col("s").alias("node")).unionByName(links.select(F.col("d").alias("node"))).distinct())
+    left, done, rounds = cut(links.where("s <> d")), left_nodes.limit(0).select("node", F.col("node").alias("root")), 0
+    while rounds < max_rounds and not left_nodes.isEmpty():
         rounds += 1
-        colour = cut(left_nodes.withColumn("c", F.col("node")))
-        for _ in range(max_rounds):
-            pushed = left.join(colour, F.col("s") == F.col("node")).groupBy(F.col("d").alias("_d")).agg(F.min("c").alias("_c"))
-            fresh = cut(colour.join(pushed, F.col("node") == F.col("_d"), "left").select("node", F.least("c", F.coalesce("_c", "c")).alias("c"), F.col("c").alias("_o")))
-            still = fresh.where("c <> _o").isEmpty()
-            colour = fresh.drop("_o")
-            if still:
-                break
-        tagged = left.join(colour.select(F.col("node").alias("_a"), F.col("c").alias("_ca")), F.col("s") == F.col("_a")).join(colour.select(F.col("node").alias("_b"), F.col("c").alias("_cb")), F.col("d") == F.col("_b"))
-        inside = cut(tagged.where("_ca = _cb").select("s", "d"))
-        back = reachable(inside, colour.where("node = c").select("node"), src="d", dst="s", max_rounds=max_rounds)
-        own = cut(back.rows.select(F.col("node").alias("_n")).join(colour, F.col("_n") == F.col("node")).select("node", F.col("c").alias("component")))
-        done = own if done is None else cut(done.unionByName(own))
-        gone = own.select(F.col("node").alias("_g"))
-        left_nodes = cut(left_nodes.join(gone, F.col("node") == F.col("_g"), "left_anti"))
-        left = cut(left.join(gone, F.col("s") == F.col("_g"), "left_anti").join(gone, F.col("d") == F.col("_g"), "left_anti"))
-        if left_nodes.isEmpty():
-            return Fixpoint(done, rounds, True)
-    return Fixpoint(done, rounds, False)
+        before = _least_label(left_nodes, left, max_rounds).select("node", F.col("label.n").alias("f"))
+        after = _least_label(left_nodes, left.select(F.col("d").alias("s"), F.col("s").alias("d")), max_rounds).select(F.col("node").alias("_n"), F.col("label.n").alias("b"))
+        pairs = cut(before.join(after, F.col("node") == F.col("_n")).select("node", "f", "b"))
+        done = cut(done.unionByName(pairs.where("f = b").select("node", F.col("f").alias("root"))))
+        rest = pairs.where("f <> b")
+        a, b = rest.select(F.col("node").alias("_a"), F.col("f").alias("fa"), F.col("b").alias("ba")), rest.select(F.col("node").alias("_b"), F.col("f").alias("fb"), F.col("b").alias("bb"))
+        left = cut(left.join(a, F.col("s") == F.col("_a")).join(b, F.col("d") == F.col("_b")).where("fa = fb and ba = bb").select("s", "d"))
+        left_nodes = cut(rest.select("node"))
+    names = done.groupBy("root").agg(F.min("node").alias("component"))
+    return Fixpoint(done.join(names, "root").select("node", "component"), rounds, left_nodes.isEmpty())
 
 
 def bounded_paths(edges: DataFrame, sources: DataFrame, max_nodes: int, *, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -149,7 +166,7 @@ def propagate(facts: DataFrame, edges: DataFrame, *, max_rounds: int = 10) -> Fi
         fresh = cut(found.join(old, (F.col("node") == F.col("_n")) & (F.col("fact") == F.col("_f")), "left_anti"))
         if fresh.isEmpty():
             return Fixpoint(known, rounds, True)
-        known, frontier = cut(known.unionByName(fresh)), fresh
+        known, frontier = grown(known, fresh, rounds), fresh
     return Fixpoint(known, rounds, False)
 
 
@@ -162,3 +179,25 @@ def integrity(nodes: DataFrame, edges: DataFrame, *, src: str = "src", dst: str
     missing = ends.join(own, F.col("item") == F.col("_n"), "left_anti").select(F.lit("missing node").alias("problem"), "item")
     again = edges.groupBy(F.concat_ws("->", F.col(src).cast("string"), F.col(dst).cast("string")).alias("item")).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.lit("repeated edge").alias("problem"), "item")
     return twice.unionByName(missing).unionByName(again)
+
+
+def spanning_forest(edges: DataFrame, weight: str, *, src: str = "src", dst: str = "dst", max_rounds: int = 40) -> Fixpoint:
+    """src, dst, weight: a lightest spanning forest of the edges taken without direction; equal weights by src, then dst.
+
+    In each round every tree takes its lightest edge to another one, so the number of trees at least halves.
+    """
+    links = cut(edges.select(F.col(src).alias("s"), F.col(dst).alias("d"), F.col(weight).cast("double").alias("w")).where("s <> d and w is not null").select(F.least("s", "d").alias("s"), F.greatest("s", "d").alias("d"), "w").groupBy("s", "d").agg(F.min("w").alias("w")))
+    tree = links.select(F.col("s").alias("node")).unionByName(links.select(F.col("d").alias("node"))).distinct().withColumn("c", F.col("node"))
+    chosen, rounds = links.limit(0), 0
+    while rounds < max_rounds:
+        rounds += 1
+        a, b = tree.select(F.col("node").alias("_a"), F.col("c").alias("ca")), tree.select(F.col("node").alias("_b"), F.col("c").alias("cb"))
+        between = links.join(a, F.col("s") == F.col("_a")).join(b, F.col("d") == F.col("_b")).where("ca <> cb").select("s", "d", "w", "ca", "cb")
+        best = between.select("s", "d", "w", F.explode(F.array("ca", "cb")).alias("c")).groupBy("c").agg(F.min(F.struct("w", "s", "d")).alias("e"))
+        fresh = cut(best.select("e.s", "e.d", "e.w").distinct())
+        if fresh.isEmpty():
+            return Fixpoint(chosen.select(F.col("s").alias("src"), F.col("d").alias("dst"), F.col("w").alias("weight")), rounds, True)
+        chosen = cut(chosen.unionByName(fresh))
+        joined = components(chosen, src="s", dst="d").rows.select(F.col("node").alias("_n"), "component")
+        tree = cut(tree.join(joined, F.col("node") == F.col("_n"), "left").select("node", F.coalesce("component", "c").alias("c")))
+    return Fixpoint(chosen.select(F.col("s").alias("src"), F.col("d").alias("dst"), F.col("w").alias("weight")), rounds, False)

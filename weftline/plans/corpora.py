@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import parse as P
 from weftline.functions import text as T
+from weftline.operators import code as K
 from weftline.operators import corpus as C
 from weftline.operators import windows as W
 from weftline.plans.registry import Registry
@@ -329,3 +330,28 @@ def centroid_cosines(spark: SparkSession, sf: str) -> DataFrame:
     packed = centroids.agg(F.collect_list(F.struct("label", "c")).alias("all"))
     pairs = rows.select("vec_id", "v").join(F.broadcast(packed)).select("vec_id", "v", F.explode("all").alias("k"))
     return pairs.select("vec_id", F.col("k.label").alias("label"), F.round(T.cosine(F.col("v"), F.col("k.c")), 4).alias("cosine"))
+
+
+@query()
+def function_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """S-19: measures of the functions in Python texts (needs a parser; tested on known functions)."""
+    return K.function_metrics(_code(spark, sf).where("path like '%.py'"), "record_id", "text")
+
+
+@query()
+def changed_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """T-8: windows around what an example changes in its parent (needs a differ; tested on known changes)."""
+    from weftline.functions.keys import norm_key
+
+    blobs = table(spark, sf, "blobs").where("payload is not null").groupBy(norm_key("digest").alias("d")).agg(F.min("payload").alias("t"))
+    links = table(spark, sf, "examples").groupBy("example_id").agg(F.min(norm_key("content_digest")).alias("own"), F.min(norm_key("parent_digest")).alias("up")).where("own is not null and up is not null")
+    texts = links.join(blobs.select(F.col("d").alias("own"), F.col("t").alias("after")), "own").join(blobs.select(F.col("d").alias("up"), F.col("t").alias("before")), "up")
+    return K.changed_windows(texts, "example_id", "before", "after")
+
+
+@query()
+def fused_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """L-10: addresses by rank fusion, each source of documents being a search and each document a rank."""
+    urls = _documents(spark, sf).where("source is not null").select("doc_id", "source", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"https?://[^/\s\"<>)]+"), 0))).alias("u"))
+    ranked = W.occurrence(urls, ["source"], ["doc_id", "u"], "rank").where("rank <= 40").select("source", "rank", P.canonical_url(F.col("u")).alias("url")).where("url <> ''")
+    return C.fuse_ranks(ranked.withColumn("overlap", F.lit(0)), "url", "source", "rank", "overlap")

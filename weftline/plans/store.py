@@ -335,3 +335,11 @@ def enclosing_ranges(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "code_findings").where("path is not null and line is not null")
     ranges = rows.where("kind = 'AIFinding'").select("path", F.col("line").cast("long").alias("a"), (F.col("line") + 40).cast("long").alias("b"), F.col("record_id").alias("enclosing"))
     return J.innermost(rows.where("kind = 'Finding'").withColumn("line", F.col("line").cast("long")), ranges, "record_id", "path", "line", "a", "b", "enclosing")
+
+
+@query(f"WITH {_CH} SELECT ch.path, count(*) AS findings, CAST(count_if(abs(c.line - ch.line) <= 10) AS BIGINT) AS near FROM code_findings c JOIN ch ON c.path = ch.path WHERE c.line IS NOT NULL GROUP BY ch.path")
+def patch_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """J-28: findings in changed files, and those within ten lines of the change."""
+    own = table(spark, sf, "code_findings").where("line is not null").select("path", F.col("line").cast("long").alias("line"))
+    joined = own.join(_changed(spark, sf).withColumnRenamed("path", "p"), F.col("path") == F.col("p"))
+    return joined.groupBy("path").agg(F.count(F.lit(1)).alias("findings"), F.count_if(F.abs(F.col("line") - F.col("changed")) <= 10).alias("near"))
