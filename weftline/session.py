@@ -63,7 +63,11 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_weftline_shipped", False):
         return
-    target = Path(tempfile.mkdtemp(prefix="weftline-package-")) / "weftline_package.zip"
+    # beside the checkpoints where those are in a file system, so that nothing depends on a folder of one machine
+    shared = ensure_checkpoint_dir(spark).removeprefix("file://").removeprefix("file:")
+    folder = Path(shared) if shared.startswith("/") else Path(tempfile.mkdtemp(prefix="weftline-package-"))
+    folder.mkdir(parents=True, exist_ok=True)
+    target = folder / "weftline_package.zip"
     with zipfile.ZipFile(target, "w") as archive:
         for path in sorted((ROOT / "weftline").rglob("*.py")):
             archive.write(path, path.relative_to(ROOT))
