@@ -84,6 +84,19 @@ def group_split(df: DataFrame, group: str, seed: str, share: int = 80) -> DataFr
     return df.withColumn("part", F.when(F.pmod(bits, F.lit(100)) < share, "train").otherwise("test"))
 
 
+def joined_texts(df: DataFrame, key: str, order: list[str], text: str, *, per: int = 256) -> DataFrame:
+    """key, chunk, parts, missing, text: the texts of each key with at least two rows, joined by newlines in `order`.
+
+    A chunk holds `per` parts, so a hot key never makes one huge row; the chunks of a key, joined by newlines in their order, are its whole
+    text. missing: parts of the key without text; as the whole can't be read then, its text is null.
+    """
+    sizes = df.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col(text).isNull()).alias("missing")).where("_n >= 2")
+    placed = df.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).select(key, "_i", F.floor(F.col("_i") / per).alias("chunk"), F.col(text).alias("_t"))
+    chunks = placed.groupBy(key, "chunk").agg(F.count(F.lit(1)).alias("parts"), F.array_sort(F.collect_list(F.struct("_i", "_t"))).alias("_a"))
+    joined = F.array_join(F.transform("_a", lambda x: x["_t"]), "\n")
+    return chunks.join(sizes, F.col(key) == F.col("_k")).select(key, "chunk", "parts", "missing", F.when(F.col("missing") == 0, joined).alias("text"))
+
+
 def fuse_ranks(hits: DataFrame, url: str, query: str, rank: str, overlap: str) -> DataFrame:
     """url, score, queries of hits from several searches: max(0, 120 - 3 rank) + 8 overlap + 5 for https, folded in the order of query and rank.
 

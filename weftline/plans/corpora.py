@@ -219,13 +219,19 @@ def comment_free_code(spark: SparkSession, sf: str) -> DataFrame:
     """SELECT path, string_agg(record_id, ',' ORDER BY line NULLS FIRST, record_id) AS parts, count(*) AS n FROM code_findings WHERE path IS NOT NULL AND kind = 'CIFinding' GROUP BY path HAVING count(*) BETWEEN 2 AND 200"""
 )
 def joined_parts(spark: SparkSession, sf: str) -> DataFrame:
-    """T-15: parts of a case in their order, for cases of up to 200 parts."""
+    """T-15: the records of the parts of a case in their order, however many there are (the SQL stops at 200)."""
     rows = table(spark, sf, "code_findings").where("path is not null and kind = 'CIFinding'")
-    sizes = rows.groupBy(F.col("path").alias("p")).agg(F.count(F.lit(1)).alias("n")).where("n between 2 and 200")
-    held = rows.join(sizes, F.col("path") == F.col("p"), "left_semi").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "record_id"))).alias("a"), F.count(F.lit(1)).alias("n"))
+    held = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "record_id"))).alias("a"), F.count(F.lit(1)).alias("n")).where("n >= 2")
     return held.select("path", F.array_join(F.transform("a", lambda x: x["record_id"].cast("string")), ",").alias("parts"), "n")
 
 
+@query()
+def joined_part_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """T-15: the texts of the parts of a case in their order, in numbered chunks; tested against plain concatenation."""
+    rows = table(spark, sf, "code_findings").where("path is not null and kind = 'CIFinding'")
+    return C.joined_texts(rows.select("path", "line", "record_id", "code"), "path", ["line", "record_id"], "code")
+
+
 @query(
     """SELECT pair_id, CAST((CASE WHEN output LIKE '%CWE-%' THEN 2 ELSE 0 END) + (CASE WHEN contains(output, 'because') THEN 1 ELSE 0 END) + (CASE WHEN contains(output, '```') THEN 3 ELSE 0 END) + (CASE WHEN length(output) > 200 THEN 1 ELSE 0 END) AS INTEGER) AS score FROM tool_use_training WHERE output IS NOT NULL"""
 )
