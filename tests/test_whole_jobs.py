@@ -1,5 +1,8 @@
 """Whole jobs where a query once did less: no caps on rows, lengths or facts."""
 
+import random
+
+from weftline.operators import corpus as C
 from weftline.plans import catalog
 
 
@@ -13,3 +16,33 @@ def test_cases_of_many_parts_stay_whole(spark, tmp_path):
     assert [(r.path, r.chunk, r.parts, r.missing) for r in chunks] == [("a.c", 0, 256, 0), ("a.c", 1, 44, 0), ("b.c", 0, 2, 1)]
     assert "\n".join(r.text for r in chunks if r.path == "a.c") == "\n".join(f"part {i}" for i in order)
     assert chunks[-1].text is None
+
+
+def plain_fusion(hits):
+    """url -> score and queries, hit by hit in the order of query and rank."""
+    rows = {}
+    for url, q, r, o in sorted(hits, key=lambda h: (h[1], h[2], max(0, 120 - 3 * h[2]) + 8 * h[3])):
+        s = max(0, 120 - 3 * r) + 8 * o + (5 if url.startswith("https:") else 0)
+        if url not in rows:
+            rows[url] = [s, {q}]
+        else:
+            row = rows[url]
+            row[0] = max(row[0] + (0 if q in row[1] else 18), s) + 4
+            row[1].add(q)
+    return {u: (s, len(q)) for u, (s, q) in rows.items()}
+
+
+def test_fusion_by_aggregation_equals_the_plain_fold(spark):
+    rnd = random.Random(5)
+    hits = [(rnd.choice(["https://a", "http://b", "http://c"]), f"q{rnd.randrange(6)}", rnd.randrange(1, 90), rnd.randrange(20)) for _ in range(300)] + [("https://d", "q1", 300, 0), ("http://e", "q2", 50, 0), ("http://e", "q2", 1, 9), ("http://e", "q3", 1, 30)]
+    got = C.fuse_ranks(spark.createDataFrame(hits, "u string, q string, r int, o int"), "u", "q", "r", "o").collect()
+    assert {r.u: (r.score, r.queries) for r in got} == plain_fusion(hits)
+
+
+def test_addresses_after_rank_40_count(spark, tmp_path):
+    rows = [(i, f"see http://h{i}.example/x", "en", "s", "k", "p") for i in range(60)] + [(100 + i, "https://late.example/", "en", "s", "k", "p") for i in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, doc_kind string, path string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.url: (r.score, r.queries) for r in catalog.queries()["fused_urls"](spark, str(tmp_path)).collect()}
+    assert len(got) == 61
+    assert next(v for u, v in got.items() if "late" in u) == (5 + 4 + 4, 1)
+    assert next(v for u, v in got.items() if "h0." in u) == (117, 1)

@@ -100,21 +100,20 @@ def joined_texts(df: DataFrame, key: str, order: list[str], text: str, *, per: i
 def fuse_ranks(hits: DataFrame, url: str, query: str, rank: str, overlap: str) -> DataFrame:
     """url, score, queries of hits from several searches: max(0, 120 - 3 rank) + 8 overlap + 5 for https, folded in the order of query and rank.
 
-    A further query adds 18; every further hit leaves the greater of both scores, plus 4. The hits of one address are few (one for each search
-    and rank), so they are folded inside a row.
+    A further query adds 18; every further hit leaves the greater of both scores, plus 4. With m hits of scores s1, s2, ... the hits of a query
+    turn a score x into max(x + 18 + 4 m, max(sk + 4 (m - k + 1))), and the first query of an address into the greater of s1 + 4 (m - 1) and the
+    same maximum from k = 2 on. So a query is folded by an aggregation, and the score is the greatest such maximum plus what the later queries
+    add: the hits of an address are never held in one row.
     """
     own = F.greatest(F.lit(0), 120 - 3 * F.col(rank)) + 8 * F.col(overlap) + F.when(F.col(url).startswith("https:"), 5).otherwise(0)
-    rows = hits.groupBy(url).agg(F.array_sort(F.collect_list(F.struct(F.col(query).alias("q"), F.col(rank).alias("r"), own.cast("int").alias("s")))).alias("h"))
-    start = F.struct(F.lit(0).alias("score"), F.array().cast("array<string>").alias("seen"))
-
-    def step(acc: Column, hit: Column) -> Column:
-        new = ~F.array_contains(acc["seen"], hit["q"].cast("string"))
-        first = F.size(acc["seen"]) == 0
-        raised = F.greatest(acc["score"] + F.when(new, 18).otherwise(0), hit["s"]) + 4
-        return F.struct(F.when(first, hit["s"]).otherwise(raised).alias("score"), F.when(new, F.array_append(acc["seen"], hit["q"].cast("string"))).otherwise(acc["seen"]).alias("seen"))
-
-    folded = F.aggregate("h", start, step)
-    return rows.select(url, folded["score"].alias("score"), F.size(folded["seen"]).alias("queries"))
+    hit = hits.select(url, F.col(query).cast("string").alias("q"), F.col(rank).alias("r"), own.cast("long").alias("s"))
+    placed = hit.withColumn("k", F.row_number().over(Window.partitionBy(url, "q").orderBy("r", "s")))
+    first = F.min(F.when(F.col("k") == 1, F.col("s"))).alias("s1")
+    per = placed.groupBy(url, "q").agg(F.count(F.lit(1)).alias("m"), first, F.max(F.when(F.col("k") > 1, F.col("s") - 4 * F.col("k"))).alias("rest"))
+    base = F.greatest(F.col("s1") + 4 * F.col("m") - F.when(F.col("n") == 1, 4).otherwise(0), F.col("rest") + 4 * F.col("m") + 4)
+    later = F.coalesce(F.sum(18 + 4 * F.col("m")).over(Window.partitionBy(url).orderBy(F.desc("q")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    scored = per.withColumn("later", later).withColumn("n", F.row_number().over(Window.partitionBy(url).orderBy("q")))
+    return scored.groupBy(url).agg(F.max(base + F.col("later")).alias("score"), F.count("q").alias("queries"))
 
 
 def disagreements(passages: DataFrame, row: str, source: str, words: str, numbers: str, negated: str, *, best: str, top: int = 40, shared: int = 4) -> DataFrame:

@@ -357,7 +357,7 @@ def changed_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def fused_urls(spark: SparkSession, sf: str) -> DataFrame:
-    """L-10: addresses by rank fusion, each source of documents being a search and each document a rank."""
+    """L-10: addresses by rank fusion, each source of documents being a search and each address in its documents a rank, however late."""
     urls = _documents(spark, sf).where("source is not null").select("doc_id", "source", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"https?://[^/\s\"<>)]+"), 0))).alias("u"))
-    ranked = W.occurrence(urls, ["source"], ["doc_id", "u"], "rank").where("rank <= 40").select("source", "rank", P.canonical_url(F.col("u")).alias("url")).where("url <> ''")
+    ranked = W.occurrence(urls, ["source"], ["doc_id", "u"], "rank").select("source", "rank", P.canonical_url(F.col("u")).alias("url")).where("url <> ''")
     return C.fuse_ranks(ranked.withColumn("overlap", F.lit(0)), "url", "source", "rank", "overlap")
