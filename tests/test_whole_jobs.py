@@ -2,7 +2,10 @@
 
 import random
 
+import pytest
+
 from weftline.operators import corpus as C
+from weftline.operators import graph as G
 from weftline.plans import catalog
 
 
@@ -46,3 +49,33 @@ def test_addresses_after_rank_40_count(spark, tmp_path):
     assert len(got) == 61
     assert next(v for u, v in got.items() if "late" in u) == (5 + 4 + 4, 1)
     assert next(v for u, v in got.items() if "h0." in u) == (117, 1)
+
+
+def reach(edges, start):
+    seen, todo = {start}, [start]
+    while todo:
+        at = todo.pop()
+        fresh = [d for s, d in edges if s == at and d not in seen]
+        seen.update(fresh)
+        todo += fresh
+    return seen
+
+
+def test_graph_loops_run_over_all_suppliers_and_facts(spark, tmp_path):
+    n, nation = 14, {i: i % 5 for i in range(1, 15)}
+    spark.createDataFrame(list(nation.items()), "s_suppkey long, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    edges = [(i, i * 3 % n + 1) for i in nation] + [(i, i * 5 % n + 2) for i in nation if i % 3 == 0]
+    nodes = {x for e in edges for x in e}
+    far = {x: reach(edges, x) for x in nodes}
+    got = {r.node: r.component for r in catalog.queries()["graph_strong_components_all"](spark, str(tmp_path)).collect()}
+    assert got == {x: min(y for y in far[x] if x in far[y]) for x in nodes}
+    facts = sorted(tuple(r) for r in catalog.queries()["graph_propagation_all"](spark, str(tmp_path)).collect())
+    assert facts == sorted({(y, f"nation-{nation[x]}") for x in nation for y in far[x]})
+
+
+def test_a_loop_that_its_bound_stops_is_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(6)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        G.propagate(spark.createDataFrame([(0, "f")], "node long, fact string"), chain, max_rounds=3).whole()
+    with pytest.raises(RuntimeError):
+        G.strong_components(chain, max_rounds=1).whole()

@@ -21,6 +21,12 @@ class Fixpoint:
     rounds: int
     converged: bool
 
+    def whole(self) -> DataFrame:
+        """The rows of a loop that came to an end; one that its bound stopped is an error."""
+        if not self.converged:
+            raise RuntimeError(f"not converged after {self.rounds} rounds")
+        return self.rows
+
 
 def grown(known: DataFrame, fresh: DataFrame, rounds: int) -> DataFrame:
     """Both together. The parts are cut already, so their union is cut itself only every eighth round."""
@@ -116,8 +122,8 @@ def _least_label(nodes: DataFrame, links: DataFrame, max_rounds: int) -> DataFra
         still = fresh.where("label <> _old").isEmpty()
         marks = fresh.drop("_old")
         if still:
-            break
-    return marks
+            return marks
+    raise RuntimeError(f"labels not settled after {max_rounds} rounds")
 
 
 def strong_components(edges: DataFrame, *, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> Fixpoint:
