@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from bisect import bisect_right
 from functools import lru_cache
 
 import ahocorasick
@@ -114,6 +115,12 @@ EMPTY_FENCE = re.compile(r"```[^\n`]*\s*```")
 TAG = re.compile(r"<[^<>\n]{0,60}>")
 INLINE = re.compile(r"`[^`\n]*`")
 QUOTED = re.compile(r"\"[^\"\n]{12,}\"|“[^”\n]{12,}”|«[^»\n]{12,}»|„[^“”\n]{12,}[“”]|^>.*$", re.MULTILINE)
+ASCII_CONTROLS = re.compile(r"[\x00-\x08\x0b-\x1f\x7f]")
+OPEN_FENCE = re.compile(r"```[^\n`]*\n?(.*?)(?:```|\Z)", re.DOTALL)
+ITEM_BREAK = re.compile(r"\n\s*\n|\n(?=\s*(?:[-*+•#|]|\d+[.)])\s)")
+SENTENCE_END = re.compile(r"[.!?…]+(?=\s)|[。！？]+|¶")
+#: A refusal has at least one refusing sentence in so many.
+REFUSING_ONE_IN = 6
 TERMINAL = ".!?。！？…؟۔।॥․:;"
 CLOSERS = "\"'”’»)]}`*_>|」』）】~"
 PAIRS = {")": "(", "]": "[", "}": "{"}
@@ -121,6 +128,8 @@ PAIRS = {")": "(", "]": "[", "}": "{"}
 
 def visible(text: str) -> str:
     """`text` without characters that show nothing (controls, format characters, fillers)."""
+    if text.isascii():
+        return ASCII_CONTROLS.sub("", text)
     return "".join(c for c in text if c in "\n\t" or unicodedata.category(c) not in ("Cf", "Cc", "Cn", "Co") and c not in "ㅤᅟᅠ⠀")
 
 
@@ -128,8 +137,6 @@ def is_empty(text: str | None) -> bool:
     """Nothing but blanks, invisible characters, bare markup, or a stand-in for no value."""
     if text is None:
         return True
-    if len(text) > 400:
-        return not any(c.isalnum() for c in text)
     rest = visible(text)
     words = WORD.findall(TAG.sub(" ", EMPTY_FENCE.sub(" ", rest)))
     return not words or " ".join(w.lower() for w in words) in STAND_INS
@@ -210,7 +217,7 @@ def copied_share(instruction: str | None, output: str | None) -> float:
 def is_echo(instruction: str | None, output: str) -> bool:
     """The output gives the instruction back, whatever its case, spacing, punctuation and markup, and nothing else."""
     prompt, response = _words(instruction or ""), _words(output)
-    if len(prompt) < 2 or len(response) > 4 * len(prompt) + 20:
+    if len(prompt) < 2 or not LABELS.union(prompt).issuperset(response):
         return False
     covered, longest = copied(prompt, response)
     left = [w for w, c in zip(response, covered, strict=True) if not c and w not in LABELS]
@@ -230,27 +237,36 @@ def _refusal_automaton() -> ahocorasick.Automaton:
     return automaton
 
 
-def is_refusal(output: str) -> bool:
-    """The output declines to answer: it says so in the first person, and there is no answer besides."""
-    if "```" in output or len(output) > 700:
+def is_refusal(output: str, instruction: str | None = None) -> bool:
+    """The output declines to answer: it says so in the first person, in at least one of `REFUSING_ONE_IN` of its sentences.
+
+    Quotations don't count. Each line of a code block counts as a sentence of an answer, unless the instruction has the same line.
+    """
+    given = {line.strip() for line in (instruction or "").split("\n")}
+    code = sum(bool(line.strip()) and line.strip() not in given for block in OPEN_FENCE.findall(output) for line in block.split("\n"))
+    text = QUOTED.sub(" ", OPEN_FENCE.sub("\n\n", output)).replace("’", "'").replace("‘", "'").lower()
+    text = " " + re.sub(r"\s+", " ", ITEM_BREAK.sub(" ¶ ", visible(text))).strip() + " "
+    hits = list(_refusal_automaton().iter(text))
+    if not hits:
         return False
-    text = QUOTED.sub(" ", output).replace("’", "'").replace("‘", "'").lower()
-    text = " " + re.sub(r"\s+", " ", visible(text)).strip() + " "
     latin = text.isascii() or not any(unicodedata.name(c, "").startswith(("CJK", "HIRAGANA", "KATAKANA", "HANGUL")) for c in text if c.isalpha())
-    for end, phrase in _refusal_automaton().iter(text):
+    ends = [m.end() for m in SENTENCE_END.finditer(text)] + [len(text)]
+    refusing = set()
+    for end, phrase in hits:
         start = end - len(phrase) + 1
         if latin and text[start - 1].isalnum():
             continue
-        after = text[end + 1 :]
-        if phrase[-1].isalnum() and latin and after[:1].isalnum() and phrase not in ("m'interdi", "m'empêch", "no estoy autoriz", "não estou autoriz", "non sono autorizzat", "recuso"):
+        if phrase[-1].isalnum() and latin and text[end + 1].isalnum() and phrase not in ("m'interdi", "m'empêch", "no estoy autoriz", "não estou autoriz", "non sono autorizzat", "recuso"):
             continue
+        after = text[end + 1 :]
         if after.lstrip().startswith(REPORTS):
             continue
         needed = NEEDS_NOT.get(phrase)
         if needed and needed not in re.split(r"[.!?]", after)[0] + " ":
             continue
-        return True
-    return False
+        refusing.add(bisect_right(ends, end))
+    sentences = sum(any(c.isalnum() for c in text[a:b]) for a, b in zip([0, *ends], ends, strict=False))
+    return bool(refusing) and len(refusing) * REFUSING_ONE_IN >= sentences + code
 
 
 def _prose(text: str) -> str:
@@ -404,7 +420,7 @@ def defect_of(instruction: str | None, output: str | None) -> str | None:
         return "empty"
     if is_echo(instruction, output):
         return "echo"
-    if is_refusal(output):
+    if is_refusal(output, instruction):
         return "refusal"
     if is_truncated(output):
         return "truncated"
