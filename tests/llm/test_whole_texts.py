@@ -3,6 +3,7 @@
 import pytest
 
 from weftline.llm import pairs as P
+from weftline.llm import secrets as S
 
 ASK = "Which rules cover CWE-89 in python code and which of them are enabled by default?"
 LINE = "cursor.execute('select * from t where id = ' + user)"
@@ -32,3 +33,26 @@ def test_long_refusals_and_refusals_that_quote_code(output):
 def test_answers_with_one_refusing_sentence():
     assert P.defect_of(ASK, "I can't run the scanner here. " + "The rule PY-SQLI-101 covers it and is enabled for every python file. " * 12) is None
     assert P.defect_of(ASK, "I can't run it here, but this works:\n\n```python\n" + "\n".join(f"check_{i}(rule)" for i in range(12)) + "\n```\n") is None
+
+
+LONG = "".join(f"{chr(97 + i * 7 % 26)}{chr(65 + i * 11 % 26)}{i * 13 % 10}" for i in range(2000))
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "aws --session-token {} s3 ls", "curl 'https://a.example/x?sig={}&v=1'", "curl -H 'Authorization: Bearer {}' https://a.example", "conn = Server=db;Password={};Timeout=3", "postgres://app:{}@db.example/x",
+        "<password>{}</password>", "password = \"{}\"", "sshpass -p '{}' ssh a@b",
+    ],
+)
+@pytest.mark.parametrize("size", [150, 450, 5000])
+def test_long_credentials_are_redacted_to_their_end(text, size):
+    secret = LONG[:size]
+    whole = text.format(secret)
+    done = S.redact(whole, S.find_secrets(whole))
+    assert secret[-40:] not in done and S.MASK in done
+
+
+@pytest.mark.parametrize(("line", "found"), [('password = "correct horse battery staple"', True), ('passphrase: "glacier Mango7 trumpet orbit"', True), ('password = "Password must be eight characters"', False), ('secret = "value is not set yet"', False), ('label = "correct horse battery staple"', False)])
+def test_passphrases_of_several_words(line, found):
+    assert bool(S.find_secrets(line, "py")) is found

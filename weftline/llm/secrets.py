@@ -37,30 +37,30 @@ KNOWN = re.compile(
 )
 PRIVATE_KEY = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY(?: BLOCK)?-----(?P<body>.*?)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|\Z)", re.DOTALL)
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/=]{12,}")
-ADDRESS = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]{1,30}://(?P<user>[^\s:/@'\"`<>?#]{0,80}):(?P<secret>[^\s'\"`<>]{3,160}?)@(?=[A-Za-z0-9\[$%{_])")
-ADDRESS_TOKEN = re.compile(r"\bhttps?://(?P<secret>[A-Za-z0-9_.-]{20,160})@(?=[A-Za-z0-9])")
-PARAMETER = re.compile(r"[?&;](?P<name>[A-Za-z0-9_.-]{2,40})=(?P<secret>[^\s&'\"`<>#;|)]{6,400})")
-HEADER = re.compile(r"\b(?P<kind>Bearer|Basic|Token|ApiKey|Digest)\s+(?P<secret>[A-Za-z0-9._~+/=-]{8,2000})", re.IGNORECASE)
-USER_OPTION = re.compile(r"(?:(?<=\s)(?:-u|--user|--proxy-user|-U)[ =]?|\bUSERPWD\s*,\s*)(?P<q>['\"]?)(?P<user>[A-Za-z0-9_.@\\-]{1,60}):(?P<secret>[^\s'\"]{4,120})(?P=q)")
-CHPASSWD = re.compile(r"\becho\s+(?:-e\s+|-n\s+)?(?P<q>['\"]?)(?P<user>[A-Za-z0-9_.-]{1,40}):(?P<secret>[^\s'\"|]{4,120})(?P=q)\s*\|\s*(?:sudo\s+)?chpasswd")
+ADDRESS = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]{1,30}://(?P<user>[^\s:/@'\"`<>?#]{0,80}):(?P<secret>[^\s'\"`<>]{3,}?)@(?=[A-Za-z0-9\[$%{_])")
+ADDRESS_TOKEN = re.compile(r"\bhttps?://(?P<secret>[A-Za-z0-9_.-]{20,})@(?=[A-Za-z0-9])")
+PARAMETER = re.compile(r"[?&;](?P<name>[A-Za-z0-9_.-]{2,40})=(?P<secret>[^\s&'\"`<>#;|)]{6,})")
+HEADER = re.compile(r"\b(?P<kind>Bearer|Basic|Token|ApiKey|Digest)\s+(?P<secret>[A-Za-z0-9._~+/=-]{8,})", re.IGNORECASE)
+USER_OPTION = re.compile(r"(?:(?<=\s)(?:-u|--user|--proxy-user|-U)[ =]?|\bUSERPWD\s*,\s*)(?P<q>['\"]?)(?P<user>[A-Za-z0-9_.@\\-]{1,60}):(?P<secret>[^\s'\"]{4,})(?P=q)")
+CHPASSWD = re.compile(r"\becho\s+(?:-e\s+|-n\s+)?(?P<q>['\"]?)(?P<user>[A-Za-z0-9_.-]{1,40}):(?P<secret>[^\s'\"|]{4,})(?P=q)\s*\|\s*(?:sudo\s+)?chpasswd")
 PASS_COMMANDS = re.compile(
-    r"(?:\bsshpass\s+-p\s*|\bdocker\s+login\b[^\n|]*?\s(?:-p|--password)[ =]|\b(?:mysql|mysqldump|mysqladmin|mariadb)\b[^\n|]*?\s-p|\bredis-cli\b[^\n|]*?\s-a\s+|\bldap(?:search|modify|add)\b[^\n|]*?\s-w\s+|\bunzip\b[^\n|]*?\s-P\s+|\bzip\b[^\n|]*?\s-P\s+|\bopenssl\b[^\n|]*?\bpass:)(?P<q>['\"]?)(?P<secret>[^\s'\"|]{4,120})(?P=q)"
+    r"(?:\bsshpass\s+-p\s*|\bdocker\s+login\b[^\n|]*?\s(?:-p|--password)[ =]|\b(?:mysql|mysqldump|mysqladmin|mariadb)\b[^\n|]*?\s-p|\bredis-cli\b[^\n|]*?\s-a\s+|\bldap(?:search|modify|add)\b[^\n|]*?\s-w\s+|\bunzip\b[^\n|]*?\s-P\s+|\bzip\b[^\n|]*?\s-P\s+|\bopenssl\b[^\n|]*?\bpass:)(?P<q>['\"]?)(?P<secret>[^\s'\"|]{4,})(?P=q)"
 )
-NAMED_ARGUMENT = re.compile(r"(?:^|(?<=[\s'\"`\[,(]))--?(?P<name>[A-Za-z][A-Za-z0-9_.-]{2,40})(?:=|[ \t]+|['\"][ \t]*,[ \t]*['\"])(?P<q>['\"]?)(?P<secret>[^\s'\"`,]{4,200})", re.MULTILINE)
-CONNECTION = re.compile(r"(?:^|[;,?&\s'\"`>(])(?P<name>(?:[A-Za-z][A-Za-z0-9_]*[ _-]?)?(?:password|passwd|pwd|pass|secret|token|accountkey|sharedaccesskey|apikey|api_key))[ \t]*=[ \t]*(?P<secret>[^\s;'\"`<>,]{4,200})(?=[;'\"<`]|$)", re.IGNORECASE | re.MULTILINE)
-ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.-]{1,60})(?:\s[^<>]*)?>(?P<secret>[^<>\n]{3,400})</(?P=name)>")
-KEYED_ELEMENT = re.compile(r"<[A-Za-z][\w.-]*\s[^<>]*?\b(?:key|name|id)\s*=\s*(?P<q>[\"'])(?P<name>[^\"'<>\n]{2,80})(?P=q)[^<>]*?(?:\bvalue\s*=\s*(?P<q2>[\"'])(?P<value>[^\"'<>\n]{3,400})(?P=q2)|>(?P<inner>[^<>\n]{3,400})</)")
+NAMED_ARGUMENT = re.compile(r"(?:^|(?<=[\s'\"`\[,(]))--?(?P<name>[A-Za-z][A-Za-z0-9_.-]{2,40})(?:=|[ \t]+|['\"][ \t]*,[ \t]*['\"])(?P<q>['\"]?)(?P<secret>[^\s'\"`,]{4,})", re.MULTILINE)
+CONNECTION = re.compile(r"(?:^|[;,?&\s'\"`>(])(?P<name>(?:[A-Za-z][A-Za-z0-9_]*[ _-]?)?(?:password|passwd|pwd|pass|secret|token|accountkey|sharedaccesskey|apikey|api_key))[ \t]*=[ \t]*(?P<secret>[^\s;'\"`<>,]{4,})(?=[;'\"<`]|$)", re.IGNORECASE | re.MULTILINE)
+ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.-]{1,60})(?:\s[^<>]*)?>(?P<secret>[^<>\n]{3,})</(?P=name)>")
+KEYED_ELEMENT = re.compile(r"<[A-Za-z][\w.-]*\s[^<>]*?\b(?:key|name|id)\s*=\s*(?P<q>[\"'])(?P<name>[^\"'<>\n]{2,80})(?P=q)[^<>]*?(?:\bvalue\s*=\s*(?P<q2>[\"'])(?P<value>[^\"'<>\n]{3,})(?P=q2)|>(?P<inner>[^<>\n]{3,})</)")
 LISTED = re.compile(r"\bname:\s*(?P<q>[\"']?)(?P<name>[\w.-]{2,80})(?P=q)[ \t]*\r?\n[ \t]*value:[ \t]*(?P<q2>[\"']?)(?P<secret>[^\s\"'#][^\n\"'\r]*?)(?P=q2)[ \t]*(?=\r?$)", re.MULTILINE)
-DEFAULTED = re.compile(r"\bvariable\s+\"(?P<name>[\w-]{2,80})\"\s*\{[^{}]*?\bdefault\s*=\s*\"(?P<secret>[^\"\n]{3,400})\"")
-EMBEDDED_DEFAULT = re.compile(r"\$\{(?P<name>[A-Za-z_][\w.-]{1,80}):-?(?P<secret>[^\s${}\"'`]{4,200})\}")
-CONFIGURE = re.compile(r"\b(?:configure\s+set|config\s+set|config(?:\s+--global)?|setx|set-secret|secrets?\s+set|setenv|env\s+set)\s+(?P<name>[A-Za-z][\w.:/-]{2,80})[ =]+(?P<q>[\"']?)(?P<secret>[^\s'\"]{4,200})(?P=q)")
+DEFAULTED = re.compile(r"\bvariable\s+\"(?P<name>[\w-]{2,80})\"\s*\{[^{}]*?\bdefault\s*=\s*\"(?P<secret>[^\"\n]{3,})\"")
+EMBEDDED_DEFAULT = re.compile(r"\$\{(?P<name>[A-Za-z_][\w.-]{1,80}):-?(?P<secret>[^\s${}\"'`]{4,})\}")
+CONFIGURE = re.compile(r"\b(?:configure\s+set|config\s+set|config(?:\s+--global)?|setx|set-secret|secrets?\s+set|setenv|env\s+set)\s+(?P<name>[A-Za-z][\w.:/-]{2,80})[ =]+(?P<q>[\"']?)(?P<secret>[^\s'\"]{4,})(?P=q)")
 STORED_LOGIN = re.compile(r"[\"']auth[\"']\s*:\s*[\"'](?P<secret>[A-Za-z0-9+/]{8,}={0,2})[\"']")
-PASSWORD_FILE = re.compile(r"(?<![\w/.])[\w.*-]+:(?:\d{2,5}|\*):[\w.*-]+:[\w.@-]+:(?P<secret>[^\s'\":]{4,120})")
-PIPED = re.compile(r"\becho\s+(?:-n\s+)?(?P<q>['\"]?)(?P<secret>[^\s'\"|:$][^\s'\"|:]{4,400})(?P=q)\s*\|[^\n]*(?:--with-token|\bsudo\s+(?:-\w+\s+)*-S|--passphrase-fd|--stdin|\bkinit\b|--password-stdin|\blogin\b|\bpasswd\b|\bsecrets? (?:set|create|add)\b)")
-REMARKED = re.compile(r"^[ \t]*[\"']?(?:default|value|val|data|content|key)[\"']?[ \t]*[:=][ \t]*(?P<q>[\"'])(?P<secret>[^\"'\n]{4,400})(?P=q)[^\n#/]*(?:#|//)[^\n]*\b(?:password|passphrase|secret|token|api[ _-]?key|private key|credentials?)\b", re.MULTILINE | re.IGNORECASE)
-NOTED = re.compile(r"^[ \t]*(?:#|//|;|--|/?\*+|<!--|REM)[^\n]*\b(?:logins?|credentials?|creds|accounts?|password|sign-?in|access)\b[^\n:]{0,60}:[ \t]*(?P<user>[A-Za-z0-9_.@-]{2,60})(?:[ \t]*/[ \t]*|[ \t]+(?:with|and)[ \t]+|:[ \t]?)(?P<secret>[^\s'\"`/]{5,120})", re.MULTILINE | re.IGNORECASE)
-SPOKEN = re.compile(r"\b(?P<name>passwords?|passwd|pwd|passphrase|secret|token|api[ _-]?key|access key|credentials?|pass)\b(?:\s+(?:is|was|are|for\s+\S+(?:\s+\S+)?\s+is)\s*:?|\s+now)\s+(?P<q>['\"`]?)(?P<secret>[^\s'\"`,;]{5,200})", re.IGNORECASE)
-LOGIN_LINE = re.compile(r"^\s*(?:machine\s+\S+\s+)?(?:login\s+\S+\s+)?(?P<name>password|passwd|requirepass|masterauth|pass)\s+(?P<q>['\"]?)(?P<secret>[^\s'\"]{5,200})(?P=q)\s*$|\bmachine\s+\S+\s+login\s+\S+\s+password\s+(?P<secret2>[^\s'\"]{4,200})", re.MULTILINE)
+PASSWORD_FILE = re.compile(r"(?<![\w/.])[\w.*-]+:(?:\d{2,5}|\*):[\w.*-]+:[\w.@-]+:(?P<secret>[^\s'\":]{4,})")
+PIPED = re.compile(r"\becho\s+(?:-n\s+)?(?P<q>['\"]?)(?P<secret>[^\s'\"|:$][^\s'\"|:]{4,})(?P=q)\s*\|[^\n]*(?:--with-token|\bsudo\s+(?:-\w+\s+)*-S|--passphrase-fd|--stdin|\bkinit\b|--password-stdin|\blogin\b|\bpasswd\b|\bsecrets? (?:set|create|add)\b)")
+REMARKED = re.compile(r"^[ \t]*[\"']?(?:default|value|val|data|content|key)[\"']?[ \t]*[:=][ \t]*(?P<q>[\"'])(?P<secret>[^\"'\n]{4,})(?P=q)[^\n#/]*(?:#|//)[^\n]*\b(?:password|passphrase|secret|token|api[ _-]?key|private key|credentials?)\b", re.MULTILINE | re.IGNORECASE)
+NOTED = re.compile(r"^[ \t]*(?:#|//|;|--|/?\*+|<!--|REM)[^\n]*\b(?:logins?|credentials?|creds|accounts?|password|sign-?in|access)\b[^\n:]{0,60}:[ \t]*(?P<user>[A-Za-z0-9_.@-]{2,60})(?:[ \t]*/[ \t]*|[ \t]+(?:with|and)[ \t]+|:[ \t]?)(?P<secret>[^\s'\"`/]{5,})", re.MULTILINE | re.IGNORECASE)
+SPOKEN = re.compile(r"\b(?P<name>passwords?|passwd|pwd|passphrase|secret|token|api[ _-]?key|access key|credentials?|pass)\b(?:\s+(?:is|was|are|for\s+\S+(?:\s+\S+)?\s+is)\s*:?|\s+now)\s+(?P<q>['\"`]?)(?P<secret>[^\s'\"`,;]{5,})", re.IGNORECASE)
+LOGIN_LINE = re.compile(r"^\s*(?:machine\s+\S+\s+)?(?:login\s+\S+\s+)?(?P<name>password|passwd|requirepass|masterauth|pass)\s+(?P<q>['\"]?)(?P<secret>[^\s'\"]{5,})(?P=q)\s*$|\bmachine\s+\S+\s+login\s+\S+\s+password\s+(?P<secret2>[^\s'\"]{4,})", re.MULTILINE)
 BARE = re.compile(
     r"^(?P<lead>[ \t]*(?:(?:#|//|;|--|/?\*+|<!--|REM|%)[ \t]*)?(?:-[ \t]+)?(?:(?:export|set|ENV|ARG|local|declare(?:\s+-\w+)?|readonly|setenv|env|Environment=)[ \t]*)?(?:[\"']?)(?:TODO[^:\n]*:[ \t]*|FIXME[^:\n]*:[ \t]*|old[ \t]+|temp(?:orary)?[ \t]+)?)(?P<name>[A-Za-z_$][\w.$-]{1,80})(?P<q0>[\"']?)(?P<op>[ \t]*(?:=|:=|:)[ \t]*|[ \t]+)(?P<secret>[^\s\"'`=][^\s\"'`]*)(?P<rest>[^\n]*)$",
     re.MULTILINE,
@@ -103,6 +103,14 @@ PAIRS = frozenset(
     """th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur ro ri io me ll ne co ma ec el us ss ic om la li nc ta ce ch ol ut ns ca tr di be ac rs ie sh pe no wo so pa ul mo id im em
     un wa po ke am we ai os ay ee wh tu up na ad ge mi ir il oo ot ho ow ly pl ef op iv ts ty ev ck ap bo av gh ig ct do fi wi pr pi su fo ex sp cr gr ag ga lo bl ob ab go da ba""".split()
 )
+# Words that sentences, labels and commands have and passphrases do not.
+SENTENCE_WORDS = frozenset(
+    """a an the this that these those is are was were be been being am not no or and but if then else when while for from to of in on at by with without as into than so such via per must may can cannot can't could should would will shall do does did has have had
+    please your you we our my me i it its their them they he she who which what where how why all any each every some more most only also here there already again still yet please enter missing invalid required optional failed failure error warning unable
+    expired value values string text name names field user username login account key keys file path default config configuration option setting see use used using set get uses read write create created load loaded send sent store stored rotate rotated
+    new old current wrong bad select insert update delete where values der die das und ist nicht ein eine mit le la les des un une et est pas el los las una es con por para""".split()
+)
+PHRASE_WORD = re.compile(r"[^\W_]{2,}(?:[-_'’][^\W_]+)*[!?@#$%&*0-9]*|[\w!?@#$%&*+-]{2,}")
 UNSPEAKABLE = re.compile(r"(?i)[bcdfghjklmnpqrstvwxz]{5,}")
 WORDS_OF = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -147,12 +155,24 @@ def name_strength(name: str) -> int:
     return 0
 
 
+def _passphrase(value: str) -> bool:
+    """Whether the words of `value` are a passphrase: at least three different ones between blanks, none of which makes a sentence, a label or a name of a credential."""
+    words = value.split(" ")
+    if len(words) < 3 or not all(PHRASE_WORD.fullmatch(w) for w in words) or len({w.lower() for w in words}) < 3:
+        return False
+    if REFERENCE.search(value) or LABEL_WORDS.search(value):
+        return False
+    return not any(w.lower().strip("!?-_") in SENTENCE_WORDS or w.lower().strip("!?-_") in STRONG for w in words) and sum(len(w) for w in words) >= 12
+
+
 def usable(value: str, strength: int = 2, quoted: bool = True) -> bool:
     """Whether `value` can be a credential rather than a placeholder, a reference, a hash, a word or a label."""
     v = value.strip()
     n = len(v)
-    if n < 5 or n > 4000 or any(c.isspace() for c in v):
+    if n < 5:
         return False
+    if any(c.isspace() for c in v):
+        return quoted and strength == 2 and _passphrase(v)
     if REFERENCE.search(v) or LABEL_WORDS.search(v):
         return False
     distinct = set(v)
