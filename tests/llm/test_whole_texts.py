@@ -3,6 +3,7 @@
 import pytest
 
 from weftline.llm import pairs as P
+from weftline.llm import pii as I
 from weftline.llm import secrets as S
 
 ASK = "Which rules cover CWE-89 in python code and which of them are enabled by default?"
@@ -56,3 +57,14 @@ def test_long_credentials_are_redacted_to_their_end(text, size):
 @pytest.mark.parametrize(("line", "found"), [('password = "correct horse battery staple"', True), ('passphrase: "glacier Mango7 trumpet orbit"', True), ('password = "Password must be eight characters"', False), ('secret = "value is not set yet"', False), ('label = "correct horse battery staple"', False)])
 def test_passphrases_of_several_words(line, found):
     assert bool(S.find_secrets(line, "py")) is found
+
+
+@pytest.mark.parametrize("number", ["912.34.56.78", "912 34 56 78"])
+def test_numbers_in_the_form_of_addresses_are_found(number):
+    text = f"Tel. {number}"
+    assert [(i.kind, text[i.start : i.end]) for i in I.find_pii(text)] == [("phone", number)]
+
+
+@pytest.mark.parametrize("line", ["connect to 10.20.30.40:8080", "peers 192.168.100.200, 172.16.254.100", "2025-03-24T08:31:12Z 10.0.12.134 WARN"])
+def test_network_addresses_are_no_numbers_of_persons(line):
+    assert I.find_pii(line) == []
