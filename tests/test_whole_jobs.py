@@ -1,6 +1,9 @@
 """Whole jobs where a query once did less: no caps on rows, lengths or facts."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import pytest
 
@@ -79,3 +82,21 @@ def test_a_loop_that_its_bound_stops_is_an_error(spark):
         G.propagate(spark.createDataFrame([(0, "f")], "node long, fact string"), chain, max_rounds=3).whole()
     with pytest.raises(RuntimeError):
         G.strong_components(chain, max_rounds=1).whole()
+
+
+def test_bigrams_and_entropy_cover_whole_texts(spark, tmp_path):
+    rnd = random.Random(3)
+    texts = {1: " ".join(rnd.choice(["Alpha", "beta,", "c_3", "é"]) for _ in range(3000)), 2: "one two three four five", 3: "x", 4: ""}
+    rows = [(i, x, "en", "s", "k", "p") for i, x in texts.items()] + [(5, None, "en", "s", "k", "p")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, doc_kind string, path string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = Counter()
+    for i, x in texts.items():
+        w = re.findall("[a-z0-9_]+", x.lower())
+        want.update((i, f"{a} {b}") for a, b in zip(w, w[1:], strict=False))
+    got = {(r.doc_id, r.bigram): r.n for r in catalog.queries()["word_bigram_counts"](spark, str(tmp_path)).collect()}
+    assert got == dict(want)
+    entropy = {r.doc_id: r.entropy for r in catalog.queries()["text_entropy"](spark, str(tmp_path)).collect()}
+    assert set(entropy) == {1, 2, 3}
+    for i, e in entropy.items():
+        n = len(texts[i])
+        assert e == pytest.approx(-sum(c / n * math.log2(c / n) for c in Counter(texts[i]).values()), abs=1e-3)

@@ -79,6 +79,12 @@ def path_entropy(spark: SparkSession, sf: str) -> DataFrame:
     return _documents(spark, sf).where("path is not null and path <> ''").select("doc_id", F.round(T.char_entropy(F.col("path")), 4).alias("entropy"))
 
 
+@query()
+def text_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    """A-19: character entropy of the whole texts; tested against a plain count."""
+    return _documents(spark, sf).where("text is not null and text <> ''").select("doc_id", F.round(T.char_entropy(F.col("text")), 4).alias("entropy"))
+
+
 @query(
     r"""SELECT doc_id, CAST(len(list_filter(w, lambda x: length(x) >= 3)) AS INTEGER) AS words, CAST(len(list_distinct(list_filter(w, lambda x: length(x) >= 3))) AS INTEGER) AS distinct_words, CASE WHEN text = '' THEN 0 ELSE CAST(len(string_split(regexp_replace(text, '\n$', ''), chr(10))) AS INTEGER) END AS lines
     FROM (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM documents WHERE text IS NOT NULL)"""
@@ -297,11 +303,18 @@ def best_passages(spark: SparkSession, sf: str) -> DataFrame:
     r"""SELECT doc_id, array_to_string(list_slice(g, 1, 3), '|') AS bigrams, CAST(len(g) AS INTEGER) AS n FROM (SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END AS g FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM documents WHERE text IS NOT NULL))"""
 )
 def word_bigrams(spark: SparkSession, sf: str) -> DataFrame:
-    """W-14: pairs of neighbouring words."""
+    """W-14: the first three pairs of neighbouring words, and how many there are, as the SQL shows them."""
     g = T.ngrams(T.words(F.col("text")), 2)
     return _documents(spark, sf).where("text is not null").select("doc_id", F.array_join(F.slice(g, 1, 3), "|").alias("bigrams"), F.size(g).alias("n"))
 
 
+@query()
+def word_bigram_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """W-14: every pair of neighbouring words of each text with its count; tested against a plain count."""
+    pairs = _documents(spark, sf).where("text is not null").select("doc_id", F.explode(T.ngrams(T.words(F.col("text")), 2)).alias("bigram"))
+    return pairs.groupBy("doc_id", "bigram").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     """WITH w AS (SELECT record_id AS id, unnest(regexp_extract_all(lower(description), '[a-z0-9_]+')) AS word FROM code_findings), h AS (SELECT id, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % 1024 AS idx, count(*) AS n FROM w GROUP BY ALL), t AS (SELECT id, sum(n) AS t FROM h GROUP BY id)
     SELECT h.id AS record_id, idx, CAST(n * 10000 // t AS BIGINT) AS value FROM h JOIN t ON h.id = t.id"""
