@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.keys import WHITE, key128, norm_key, norm_word
-from weftline.operators.hierarchy import build_hierarchy
+from weftline.operators.hierarchy import build_hierarchy, descendants
 from weftline.operators.orphans import KeyFilter, find_orphans, orphan_counts, parent_keys
 from weftline.operators.snapshots import number_in_series, snapshot_changes
+from weftline.session import cut
 from weftline.sources.tables import table
 
 #: ref_table: (reference, parent table, key of the parent, its deletion mark)
@@ -67,11 +68,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes (example_id) with the example that their parent_digest names, or null."""
-    rows = table(spark, sf_dir, "examples").select("example_id", F.struct("ingested_at", "row_id", norm_key("content_digest").alias("own"), norm_key("parent_digest").alias("above")).alias("r"))
-    last = rows.where(F.col("example_id").isNotNull()).groupBy("example_id").agg(F.max("r").alias("r")).select("example_id", "r.own", "r.above")
-    owners = last.where(F.col("own").isNotNull()).groupBy("own").agg(F.min("example_id").alias("parent")).withColumnRenamed("own", "digest")
-    return last.join(owners, F.col("above") == F.col("digest"), "left").select(F.col("example_id").alias("node"), "parent")
+    """Nodes (example_id) with their own digest as key and that of their parent."""
+    rows = table(spark, sf_dir, "examples").select("example_id", F.struct("ingested_at", "row_id", key128(norm_key("content_digest")).alias("own"), key128(norm_key("parent_digest")).alias("above")).alias("r"))
+    last = rows.where(F.col("example_id").isNotNull()).groupBy("example_id").agg(F.max("r").alias("r"))
+    return last.select(F.col("example_id").alias("node"), F.col("r.own").alias("key"), F.col("r.above").alias("parent"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,12 +81,25 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Problem 6: full path, nested-set range and number of descendants of every example."""
+    """Problem 6: full path and number of descendants of every example."""
     tree = build_hierarchy(_examples(spark, sf_dir), paths=True)
-    return tree.select(F.col("node").alias("example_id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), "path", "lo", "hi", (F.col("size") - 1).alias("descendants"))
+    return tree.select(F.col("node").alias("example_id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), "path", (F.col("size") - 1).alias("descendants"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_counts, p5_found, p6_found, p6_paths)}
+def p6_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 6: nested-set range of every example in its tree, from which all descendants can be read; its order of siblings is ours, so no SQL."""
+    tree = build_hierarchy(_examples(spark, sf_dir))
+    return tree.select(F.col("node").alias("example_id"), F.col("root").alias("root_id"), "lo", "hi")
+
+
+def p6_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 6: all descendants of every example with a row whose row_id is divisible by 50, searched among all examples."""
+    tree = cut(build_hierarchy(_examples(spark, sf_dir)))
+    asked = table(spark, sf_dir, "examples").where("row_id % 50 = 0 and example_id is not null").select("example_id")
+    return descendants(tree, asked).select(F.col("ancestor").alias("example_id"), F.col("node").alias("descendant_id"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_counts, p5_found, p6_found, p6_paths, p6_ranges, p6_descendants)}
 
 
 def _sql_key(column: str) -> str:
@@ -160,4 +173,13 @@ WHERE o.fp IS NULL OR c.fp IS NULL OR c.sev <> o.sev""",
     "p6_found": _TREE
     + """SELECT l.example_id, coalesce(t.root_id, '') AS root_id, CAST(coalesce(t.depth, -1) AS INTEGER) AS depth
 FROM link l LEFT JOIN tree t ON l.example_id = t.example_id""",
+    "p6_paths": _TREE
+    + """, pairs AS (SELECT example_id, unnest(string_split(path, '/')) AS above FROM tree),
+below AS (SELECT above, count(*) - 1 AS descendants FROM pairs GROUP BY above)
+SELECT l.example_id, coalesce(t.root_id, '') AS root_id, CAST(coalesce(t.depth, -1) AS INTEGER) AS depth, t.path, b.descendants
+FROM link l LEFT JOIN tree t ON l.example_id = t.example_id LEFT JOIN below b ON l.example_id = b.above""",
+    "p6_descendants": _TREE
+    + """, pairs AS (SELECT example_id, unnest(string_split(path, '/')) AS above FROM tree)
+SELECT above AS example_id, example_id AS descendant_id FROM pairs
+WHERE above <> example_id AND above IN (SELECT example_id FROM examples WHERE row_id % 50 = 0)""",
 }
