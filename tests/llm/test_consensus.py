@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from weftline.llm.consensus import consensus
 
 LABELS = ["A", "B", "C"]
@@ -54,3 +56,23 @@ def test_partitions_change_nothing(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     first = {r.item: (r.label, round(r.support, 6)) for r in consensus(df, LABELS).items.collect()}
     assert first == {r.item: (r.label, round(r.support, 6)) for r in consensus(df.repartition(7).orderBy("label"), LABELS).items.collect()}
+
+
+def test_annotators_in_a_table_give_the_same_consensus(spark):
+    truth, rows, quality = planted(4, items=120)
+    df = spark.createDataFrame(rows, SCHEMA)
+    small, wide = consensus(df, LABELS), consensus(df, LABELS, max_annotators=3, tolerance=0.02)
+    assert small.converged and wide.converged
+    by_driver = {r.item: (r.label, r.voters) for r in small.items.collect()}
+    by_table = {r.item: (r.label, r.voters) for r in wide.items.collect()}
+    assert by_driver.keys() == by_table.keys()
+    assert sum(by_driver[i] == by_table[i] for i in by_driver) >= 0.98 * len(by_driver)
+    reliability = {r.annotator: r.reliability for r in wide.annotators.collect()}
+    assert reliability.keys() == quality.keys()
+    assert all(abs(r.reliability - reliability[r.annotator]) < 0.1 for r in small.annotators.collect())
+
+
+def test_a_model_that_still_moves_is_an_error(spark):
+    _, rows, _ = planted(5, items=40)
+    with pytest.raises(RuntimeError):
+        consensus(spark.createDataFrame(rows, SCHEMA), LABELS, max_rounds=1)

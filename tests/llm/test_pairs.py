@@ -100,3 +100,35 @@ def test_operator(spark):
     assert sorted((r.pair_id, r.defect) for r in P.find_defects(df).collect()) == [(1, "empty"), (1, "empty"), (5, "empty")]
     assert P.find_defects(df.limit(0)).count() == 0
     assert P.describe_pairs(df).count() == 6
+
+
+def test_delimiters_are_read_in_every_paragraph():
+    assert P.defect_of("Show the call.", "foo(bar, [1, 2\n\nDone.") == "truncated"
+    assert P.defect_of("Show the call.", "foo(bar, [1, 2])\n\nDone.") is None
+
+
+def test_brief_answers_without_full_stop():
+    for text in ("The value is unchecked", "Yes, it does", "No, they are not"):
+        assert P.defect_of("Is the value checked?", text) is None
+    for text in ("The value is", "Resolve the path first, then compare it", "No change is nee"):
+        assert P.defect_of("Is the value checked?", text) == "truncated"
+
+
+@pytest.mark.parametrize(
+    "output",
+    [
+        "Regeln gäller för filen eftersom det är en av de som inte har kontrollerats och därför måste du se till det.",
+        "Quy tắc này áp dụng cho tệp vì giá trị không được kiểm tra trước khi sử dụng.",
+        "Pravilo se odnosi na ovu datoteku jer vrijednost nije provjerena prije nego što je korištena.",
+        "Pravilo velja za to datoteko, ker vrednost ni bila preverjena pred uporabo in mora biti.",
+        "Ang patakaran ay para sa file na ito dahil hindi sinuri ang halaga bago ito gamitin.",
+    ],
+)
+def test_further_languages(output):
+    assert P.defect_of("Which rule applies to the login file and why is it so important?", output) == "other_language"
+
+
+def test_an_instruction_is_in_the_language_of_most_of_its_paragraphs():
+    handed = "Erkläre bitte, warum die Datei geändert wurde.\n\nThe file was changed because the value is not checked and this is what we found.\n\nWelche Regel gilt hier und warum?"
+    assert P.defect_of(handed, "Die Regel gilt hier, weil der Wert nicht geprüft wird.") is None
+    assert P.defect_of(handed, "The rule is for this file because the value is not checked before it is used.") == "other_language"

@@ -112,7 +112,9 @@ def pack(items: DataFrame, containers: DataFrame, *, item: str = "doc_id", size:
     schema = "container string, grp int, bin int, doc_id long, part int, start long, tokens long"
     if not kinds:
         return spark.createDataFrame([], schema)
-    return grouped.groupBy("grp").applyInArrow(fill, schema)
+    # packing costs far more than the few bytes of a group, so the groups are spread by number and not by size
+    cores = spark.sparkContext.defaultParallelism
+    return grouped.repartition(min(groups, max(3 * cores, groups // 16)), "grp").groupBy("grp").applyInArrow(fill, schema)
 
 
 def fill_rates(packed: DataFrame, containers: DataFrame) -> DataFrame:

@@ -11,10 +11,12 @@ import json
 import re
 import unicodedata
 from bisect import bisect_right
+from collections import Counter
 from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,7 @@ STAND_INS = frozenset(
     "null|none|nil|nan|na|n a|undefined|void|empty|blank|missing|no output|no answer|no response|no value|no result|no data|no content|not available|not applicable|not set|tbd|todo|placeholder|"
     "insert answer here|answer|response|output|lorem ipsum|keine ausgabe|keine antwort|leer|sin respuesta|sin salida|vacío|sans réponse|aucune réponse|vide|sem resposta|vazio|nessuna risposta|vuoto".split("|")
 )
+STAND_IN_WORDS = max(len(x.split()) for x in STAND_INS)
 # Words that may stand around a repeated prompt without answering it.
 LABELS = frozenset("instruction question prompt user human task input query request q you asked ask me the original here is your i was frage anweisung aufgabe pregunta instrucción pergunta instrução consigne domanda istruzione richiesta".split())
 
@@ -36,7 +39,7 @@ REFUSALS = {
     i'm forbidden|i am prohibited|i am not authorized|i'm not authorized|i'm not in a position|i am not in a position|i don't discuss|i do not discuss|i don't provide|i do not provide|i do not answer|i don't answer|i could not possibly|i couldn't possibly|
     my guidelines|my policies|my policy|my rules|my principles|my safety|my programming|not something i can|not something i am|not something i'm|something i cannot|something i can't|something i won't|something i will not|outside of what i|outside what i|
     beyond what i|not possible for me|impossible for me|inappropriate for me|not appropriate for me|not comfortable with|no answer to this|no answer can be given|no answer will|no comment from me|prevent me from|prevents me from|keep me from|keeps me from|
-    forbid me|forbids me|not allow me|doesn't allow me|don't allow me|what i am allowed to|what i'm allowed to|sorry, no.|sorry, but no|against my|you'll have to ask someone else|count me out""",
+    turn that request down|turn this request down|turning this down|turning that down|turn you down|turn this one down|i'll pass on|i will pass on|i'm passing on|i am passing on|i'll sit this one out|i'd sooner not|i would sooner not|leave that unanswered|leave this unanswered|i'm declining|i am declining|i'm refusing|i am refusing|that's a no from me|i'll leave that to|not going to help|won't be answering|won't be helping|i'll have to say no|i have to say no|i must say no|i'll refrain|forbid me|forbids me|not allow me|doesn't allow me|don't allow me|what i am allowed to|what i'm allowed to|sorry, no.|sorry, but no|against my|you'll have to ask someone else|count me out""",
     "de": """kann ich leider nicht|kann ich nicht|kann ich dir nicht|kann ich ihnen nicht|ich kann nicht|ich kann dabei nicht|ich kann ihnen dabei nicht|ich kann dir dabei nicht|ich kann das nicht|darf ich nicht|darf ich leider nicht|ich darf|darf nichts|nicht gestattet|nicht erlaubt|
     keine auskunft|lehne ich ab|ich lehne|muss ich ablehnen|ich muss ablehnen|muss ich leider ablehnen|ich möchte|möchte ich nicht|möchte ich lieber nicht|ich verweigere|ich weigere mich|werde ich nicht|ich werde nicht|nicht helfen|nicht weiterhelfen|
     meine richtlinien|meine regeln|meine vorgaben|tut mir leid, aber|tut mir leid, das|tut mir leid, nein|untersagen mir|verbieten mir|ist mir untersagt|ist mir verboten|ich äußere mich|sage ich nichts|bin ich nicht befugt|ich bin nicht befugt""",
@@ -77,10 +80,14 @@ STOPWORDS = {
     "ro": "și în de la cu pe nu este că o un care mai din pentru sau se ce să dar fi sunt după acest această fără valoarea regula fișierul".split(),
     "fi": "ja on ei se että oli hän mutta ovat kun niin myös tai kuin jos joka ennen jälkeen ilman tämä siksi tiedosto sääntö arvo".split(),
     "hu": "a az és hogy nem is egy van ez meg de ha már csak vagy után előtt ezért szabály fájl érték minden".split(),
+    "vi": "và của là có không được cho với trong một các này đó để khi đã sẽ từ như cũng nhưng hoặc vì nếu những người thì phải bị tệp giá trị quy tắc".split(),
+    "hr": "i u na se je da za su od s kao koji koja koje ali ili nije što kako samo može treba bez prije nakon zbog ovaj ova ovo jer datoteka pravilo vrijednost biti bio".split(),
+    "sl": "in v na se je da za so od z kot ki pa ali ni kaj kako samo lahko mora brez pred po zaradi ta to ker datoteka pravilo vrednost biti bil tudi še".split(),
+    "tl": "ang ng sa mga na ay at hindi para kung ito iyon may wala dahil upang bago pagkatapos din rin lamang maaari dapat siya sila namin natin".split(),
     "id": "yang dan di ke dari untuk dengan ini itu tidak adalah pada akan atau juga oleh sebagai karena setelah sebelum nilai aturan berkas tanpa dapat".split(),
 }
 # Letters that hardly any other of these languages has, as votes.
-LETTERS = {"ñ": "es", "¿": "es", "¡": "es", "ã": "pt", "õ": "pt", "ß": "de", "ä": "de", "ü": "de", "ğ": "tr", "ı": "tr", "ş": "tr", "ł": "pl", "ą": "pl", "ę": "pl", "ř": "cs", "ě": "cs", "ů": "cs", "ș": "ro", "ț": "ro", "ő": "hu", "ű": "hu", "œ": "fr", "å": "sv", "ø": "da", "æ": "da"}
+LETTERS = {"ñ": "es", "¿": "es", "¡": "es", "ã": "pt", "õ": "pt", "ß": "de", "ä": "de", "ü": "de", "ğ": "tr", "ı": "tr", "ş": "tr", "ł": "pl", "ą": "pl", "ę": "pl", "ř": "cs", "ě": "cs", "ů": "cs", "ș": "ro", "ț": "ro", "ő": "hu", "ű": "hu", "œ": "fr", "đ": "vi", "ơ": "vi", "ư": "vi", "č": "hr", "ć": "hr", "å": "sv", "ø": "da", "æ": "da"}
 # Scripts that tell a language by themselves.
 SCRIPTS = (("HIRAGANA", "ja"), ("KATAKANA", "ja"), ("HANGUL", "ko"), ("CJK", "zh"), ("CYRILLIC", "ru"), ("ARABIC", "ar"), ("HEBREW", "he"), ("GREEK", "el"), ("DEVANAGARI", "hi"), ("THAI", "th"), ("BENGALI", "bn"), ("TAMIL", "ta"), ("GEORGIAN", "ka"), ("ARMENIAN", "hy"))
 # How the languages are called, as word beginnings.
@@ -115,10 +122,17 @@ EMPTY_FENCE = re.compile(r"```[^\n`]*\s*```")
 TAG = re.compile(r"<[^<>\n]{0,60}>")
 INLINE = re.compile(r"`[^`\n]*`")
 QUOTED = re.compile(r"\"[^\"\n]{12,}\"|“[^”\n]{12,}”|«[^»\n]{12,}»|„[^“”\n]{12,}[“”]|^>.*$", re.MULTILINE)
+UNSEEN = regex.compile(r"(?V1)[[\p{Cf}\p{Cc}\p{Cn}\p{Co}ㅤᅟᅠ⠀]--[\n\t]]")
 ASCII_CONTROLS = re.compile(r"[\x00-\x08\x0b-\x1f\x7f]")
 OPEN_FENCE = re.compile(r"```[^\n`]*\n?(.*?)(?:```|\Z)", re.DOTALL)
 ITEM_BREAK = re.compile(r"\n\s*\n|\n(?=\s*(?:[-*+•#|]|\d+[.)])\s)")
 SENTENCE_END = re.compile(r"[.!?…]+(?=\s)|[。！？]+|¶")
+# Brief answers that are complete without a full stop.
+BRIEF = re.compile(
+    r"(?i)(?:yes|no|nope|yep|correct|right),?\s+(?:it|they|he|she|we|you|i|that|this|there|both|neither)\s+(?:is|are|was|were|does|do|did|has|have|had|can|could|will|would|should|must)(?:n't|\s+not)?"
+    r"|(?:ja|nein|oui|non|s[íi]|no|sim|não|sì),?\s+(?:das ist so|das stimmt|c'est le cas|c'est exact|es así|lo es|é|está|lo è)"
+    r"|(?:[^\W\d_]+\s+){1,4}(?:is|are|was|were)\s+(?:not\s+\w+ed|un\w+ed|un\w+able|in\w+[ai]ble|correct|fine|safe|unsafe|wrong|missing|empty|true|false)"
+)
 #: A refusal has at least one refusing sentence in so many.
 REFUSING_ONE_IN = 6
 TERMINAL = ".!?。！？…؟۔।॥․:;"
@@ -126,11 +140,10 @@ CLOSERS = "\"'”’»)]}`*_>|」』）】~"
 PAIRS = {")": "(", "]": "[", "}": "{"}
 
 
+@lru_cache(maxsize=64)
 def visible(text: str) -> str:
     """`text` without characters that show nothing (controls, format characters, fillers)."""
-    if text.isascii():
-        return ASCII_CONTROLS.sub("", text)
-    return "".join(c for c in text if c in "\n\t" or unicodedata.category(c) not in ("Cf", "Cc", "Cn", "Co") and c not in "ㅤᅟᅠ⠀")
+    return ASCII_CONTROLS.sub("", text) if text.isascii() else UNSEEN.sub("", text)
 
 
 def is_empty(text: str | None) -> bool:
@@ -138,8 +151,12 @@ def is_empty(text: str | None) -> bool:
     if text is None:
         return True
     rest = visible(text)
-    words = WORD.findall(TAG.sub(" ", EMPTY_FENCE.sub(" ", rest)))
-    return not words or " ".join(w.lower() for w in words) in STAND_INS
+    words: list[str] = []
+    for m in WORD.finditer(TAG.sub(" ", EMPTY_FENCE.sub(" ", rest))):
+        if len(words) == STAND_IN_WORDS:
+            return False  # longer than any stand-in
+        words.append(m.group().lower())
+    return not words or " ".join(words) in STAND_INS
 
 
 class SuffixAutomaton:
@@ -205,7 +222,7 @@ def copied(prompt: list[str], response: list[str], least: int = 2) -> tuple[list
 
 
 def _words(text: str) -> list[str]:
-    return [w.casefold() for w in WORD.findall(text)]
+    return WORD.findall(text.casefold())
 
 
 def copied_share(instruction: str | None, output: str | None) -> float:
@@ -216,9 +233,12 @@ def copied_share(instruction: str | None, output: str | None) -> float:
 
 def is_echo(instruction: str | None, output: str) -> bool:
     """The output gives the instruction back, whatever its case, spacing, punctuation and markup, and nothing else."""
-    prompt, response = _words(instruction or ""), _words(output)
-    if len(prompt) < 2 or not LABELS.union(prompt).issuperset(response):
+    prompt = _words(instruction or "")
+    allowed = LABELS.union(prompt)
+    folded = output.casefold()
+    if len(prompt) < 2 or not all(m.group() in allowed for m in WORD.finditer(folded)):
         return False
+    response = WORD.findall(folded)
     covered, longest = copied(prompt, response)
     left = [w for w, c in zip(response, covered, strict=True) if not c and w not in LABELS]
     blocks = [len(_words(b)) for b in re.split(r"\n\s*\n|(?<=[.:?!])\s+", instruction or "") if b.strip()]
@@ -294,7 +314,7 @@ def is_truncated(output: str) -> bool:
     if text.endswith("```"):
         return False
     open_marks: list[str] = []
-    for c in INLINE.sub(" ", FENCE.sub(" ", text)).rsplit("\n\n", 1)[-1]:
+    for c in INLINE.sub(" ", FENCE.sub(" ", text)):
         if c in "([{":
             open_marks.append(c)
         elif c in PAIRS and open_marks and open_marks[-1] == PAIRS[c]:
@@ -324,9 +344,7 @@ def is_truncated(output: str) -> bool:
         return True  # scripts that put no blanks between words
     words = tail.split()
     names = [w for w in words if _is_name(w.strip("\"'`*()[],;"))]
-    if len(text.split()) == 1 or len(names) == len(words):
-        return False
-    return True
+    return not (len(text.split()) == 1 or len(names) == len(words) or BRIEF.fullmatch(text))
 
 
 @lru_cache(maxsize=1)
@@ -338,39 +356,38 @@ def _votes_of() -> dict[str, tuple[tuple[str, ...], float]]:
     return {w: (tuple(ls), 1 / len(ls)) for w, ls in languages.items()}
 
 
+@lru_cache(maxsize=8192)
+def _script_of(c: str) -> str | None:
+    name = unicodedata.name(c, "")
+    return next((language for script, language in SCRIPTS if name.startswith(script)), None)
+
+
 def language_votes(text: str) -> dict[str, float]:
     """Votes by language for a text of prose: stopwords, telling letters, and scripts other than Latin."""
     votes: dict[str, float] = {}
     known = _votes_of()
-    for word in WORD.findall(text):
-        w = word.lower().replace("’", "'")
-        if w.isascii() and any(c.isdigit() or c == "_" for c in w):
-            continue
+    for w, n in Counter(WORD.findall(text.lower().replace("’", "'"))).items():
         hit = known.get(w)
         if hit is None and "'" in w:
             hit = known.get(w.rsplit("'", 1)[-1])
             if w[:2] in ("l'", "d'", "n'", "s'", "c'", "j'", "m'") or w[:3] == "qu'":
-                votes["fr"] = votes.get("fr", 0) + 0.5
+                votes["fr"] = votes.get("fr", 0) + 0.5 * n
         if hit:
             for language in hit[0]:
-                votes[language] = votes.get(language, 0) + hit[1]
+                votes[language] = votes.get(language, 0) + hit[1] * n
         if not w.isascii():
             for c in w:
                 if c in LETTERS:
-                    votes[LETTERS[c]] = votes.get(LETTERS[c], 0) + 0.5
+                    votes[LETTERS[c]] = votes.get(LETTERS[c], 0) + 0.5 * n
                     break
     if not text.isascii():
         for mark in "¿¡":
             if mark in text:
                 votes["es"] = votes.get("es", 0) + 1
         counts: dict[str, int] = {}
-        for c in text:
-            if ord(c) > 0x36F and c.isalpha():
-                name = unicodedata.name(c, "")
-                for script, language in SCRIPTS:
-                    if name.startswith(script):
-                        counts[language] = counts.get(language, 0) + 1
-                        break
+        for c, n in Counter(text).items():
+            if ord(c) > 0x36F and c.isalpha() and (language := _script_of(c)):
+                counts[language] = counts.get(language, 0) + n
         if counts.get("ja") and counts.get("zh"):
             counts["ja"] += counts.pop("zh")
         for language, n in counts.items():
@@ -397,6 +414,15 @@ def languages_asked_for(instruction: str) -> set[str]:
     return {language for language, line in LANGUAGE_NAMES.items() if found & set(line.split())}
 
 
+def _instruction_language(instruction: str) -> str | None:
+    """The language that most paragraphs of the instruction are in, of equal ones the first; of its whole prose if no paragraph has one.
+
+    Paragraphs and not words count, so a long text handed over with a question does not outvote it.
+    """
+    spoken = [language for part in re.split(r"\n\s*\n", FENCE.sub(" ", instruction)) if (language := language_of(INLINE.sub(" ", part), least=0.4))]
+    return max(spoken, key=spoken.count) if spoken else language_of(_prose(instruction), least=0.4)
+
+
 def is_other_language(instruction: str | None, output: str) -> bool:
     """The output's prose is in another language than the instruction, which does not name that language."""
     if not instruction:
@@ -408,7 +434,7 @@ def is_other_language(instruction: str | None, output: str) -> bool:
     said = max(votes, key=lambda k: (votes[k], k))
     if votes[said] < 1.5:
         return False
-    asked_in = language_of(INLINE.sub(" ", FENCE.sub(" ", instruction.split("\n\n")[0])), least=0.4) or language_of(_prose(instruction), least=0.4)
+    asked_in = _instruction_language(instruction)
     if asked_in is None or said == asked_in or said in languages_asked_for(instruction):
         return False
     return votes[said] >= 1.6 * votes.get(asked_in, 0) + 0.5
