@@ -1,10 +1,12 @@
 """Credentials written out in source code and configuration.
 
-A lexer cuts a text into names, literals and operators. A literal (or a bare value of a configuration line)
-counts as a credential if it is assigned to, compared with or passed for a name that speaks of one and is
-not itself a placeholder, a reference or a word; some formats (tokens of known shape, private keys, addresses
-and headers with a password) count wherever they stand. Only the contents of literals are replaced: quotes,
-prefixes, escapes outside of them and line ends stay, so the code around keeps its shape.
+A lexer cuts a text into names, literals and operators, and has further modes for what programming languages hand
+over to others: settings, options of commands, markup, addresses, headers, key files and remarks. A mode is entered where
+one of its words stands and reads from there to the end of its construct. Every mode gives bindings: a literal or
+bare value, and the name that it is assigned to, compared with or passed for. One place judges all bindings: the
+name must speak of a credential, and the value must not be a placeholder, a reference, a hash or a word; tokens of
+known shape name themselves. Only the contents of literals are replaced: quotes, prefixes, escapes outside of them
+and line ends stay, so the code around keeps its shape.
 """
 
 from __future__ import annotations
@@ -14,9 +16,11 @@ import binascii
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,32 +41,33 @@ KNOWN = re.compile(
 )
 PRIVATE_KEY = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY(?: BLOCK)?-----(?P<body>.*?)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|\Z)", re.DOTALL)
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/=]{12,}")
-ADDRESS = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]{1,30}://(?P<user>[^\s:/@'\"`<>?#]{0,80}):(?P<secret>[^\s'\"`<>]{3,}?)@(?=[A-Za-z0-9\[$%{_])")
+ADDRESS = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]+://(?P<user>[^\s:/@'\"`<>?#]*):(?P<secret>[^\s'\"`<>]{3,}?)@(?=[A-Za-z0-9\[$%{_])")
 ADDRESS_TOKEN = re.compile(r"\bhttps?://(?P<secret>[A-Za-z0-9_.-]{20,})@(?=[A-Za-z0-9])")
-PARAMETER = re.compile(r"[?&;](?P<name>[A-Za-z0-9_.-]{2,40})=(?P<secret>[^\s&'\"`<>#;|)]{6,})")
+PARAMETER = re.compile(r"[?&;](?P<name>[A-Za-z0-9_.-]{2,})=(?P<secret>[^\s&'\"`<>#;|)]{6,})")
+QUERY_NAME = re.compile(r"(?i)(?:.*[_-])?(?:token|key|secret|password|pwd|pass|passwd|sig|signature|auth|apikey|api_key|access_key|credential|code|sas)")
 HEADER = re.compile(r"\b(?P<kind>Bearer|Basic|Token|ApiKey|Digest)\s+(?P<secret>[A-Za-z0-9._~+/=-]{8,})", re.IGNORECASE)
-USER_OPTION = re.compile(r"(?:(?<=\s)(?:-u|--user|--proxy-user|-U)[ =]?|\bUSERPWD\s*,\s*)(?P<q>['\"]?)(?P<user>[A-Za-z0-9_.@\\-]{1,60}):(?P<secret>[^\s'\"]{4,})(?P=q)")
-CHPASSWD = re.compile(r"\becho\s+(?:-e\s+|-n\s+)?(?P<q>['\"]?)(?P<user>[A-Za-z0-9_.-]{1,40}):(?P<secret>[^\s'\"|]{4,})(?P=q)\s*\|\s*(?:sudo\s+)?chpasswd")
+USER_OPTION = re.compile(r"(?:(?<=\s)(?:-u|--user|--proxy-user|-U)[ =]?|\bUSERPWD\s*,\s*)(?P<q>['\"]?)(?P<user>[A-Za-z0-9_.@\\-]+):(?P<secret>[^\s'\"]{4,})(?P=q)")
+CHPASSWD = re.compile(r"\becho\s+(?:-e\s+|-n\s+)?(?P<q>['\"]?)(?P<user>[A-Za-z0-9_.-]+):(?P<secret>[^\s'\"|]{4,})(?P=q)\s*\|\s*(?:sudo\s+)?chpasswd")
 PASS_COMMANDS = re.compile(
     r"(?:\bsshpass\s+-p\s*|\bdocker\s+login\b[^\n|]*?\s(?:-p|--password)[ =]|\b(?:mysql|mysqldump|mysqladmin|mariadb)\b[^\n|]*?\s-p|\bredis-cli\b[^\n|]*?\s-a\s+|\bldap(?:search|modify|add)\b[^\n|]*?\s-w\s+|\bunzip\b[^\n|]*?\s-P\s+|\bzip\b[^\n|]*?\s-P\s+|\bopenssl\b[^\n|]*?\bpass:)(?P<q>['\"]?)(?P<secret>[^\s'\"|]{4,})(?P=q)"
 )
-NAMED_ARGUMENT = re.compile(r"(?:^|(?<=[\s'\"`\[,(]))--?(?P<name>[A-Za-z][A-Za-z0-9_.-]{2,40})(?:=|[ \t]+|['\"][ \t]*,[ \t]*['\"])(?P<q>['\"]?)(?P<secret>[^\s'\"`,]{4,})", re.MULTILINE)
+NAMED_ARGUMENT = re.compile(r"(?:^|(?<=[\s'\"`\[,(]))--?(?P<name>[A-Za-z][A-Za-z0-9_.-]{2,})(?:=|[ \t]+|['\"][ \t]*,[ \t]*['\"])(?P<q>['\"]?)(?P<secret>[^\s'\"`,]{4,})", re.MULTILINE)
 CONNECTION = re.compile(r"(?:^|[;,?&\s'\"`>(])(?P<name>(?:[A-Za-z][A-Za-z0-9_]*[ _-]?)?(?:password|passwd|pwd|pass|secret|token|accountkey|sharedaccesskey|apikey|api_key))[ \t]*=[ \t]*(?P<secret>[^\s;'\"`<>,]{4,})(?=[;'\"<`]|$)", re.IGNORECASE | re.MULTILINE)
-ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.-]{1,60})(?:\s[^<>]*)?>(?P<secret>[^<>\n]{3,})</(?P=name)>")
-KEYED_ELEMENT = re.compile(r"<[A-Za-z][\w.-]*\s[^<>]*?\b(?:key|name|id)\s*=\s*(?P<q>[\"'])(?P<name>[^\"'<>\n]{2,80})(?P=q)[^<>]*?(?:\bvalue\s*=\s*(?P<q2>[\"'])(?P<value>[^\"'<>\n]{3,})(?P=q2)|>(?P<inner>[^<>\n]{3,})</)")
-LISTED = re.compile(r"\bname:\s*(?P<q>[\"']?)(?P<name>[\w.-]{2,80})(?P=q)[ \t]*\r?\n[ \t]*value:[ \t]*(?P<q2>[\"']?)(?P<secret>[^\s\"'#][^\n\"'\r]*?)(?P=q2)[ \t]*(?=\r?$)", re.MULTILINE)
-DEFAULTED = re.compile(r"\bvariable\s+\"(?P<name>[\w-]{2,80})\"\s*\{[^{}]*?\bdefault\s*=\s*\"(?P<secret>[^\"\n]{3,})\"")
-EMBEDDED_DEFAULT = re.compile(r"\$\{(?P<name>[A-Za-z_][\w.-]{1,80}):-?(?P<secret>[^\s${}\"'`]{4,})\}")
-CONFIGURE = re.compile(r"\b(?:configure\s+set|config\s+set|config(?:\s+--global)?|setx|set-secret|secrets?\s+set|setenv|env\s+set)\s+(?P<name>[A-Za-z][\w.:/-]{2,80})[ =]+(?P<q>[\"']?)(?P<secret>[^\s'\"]{4,})(?P=q)")
+ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.-]+)(?:\s[^<>]*)?>(?P<secret>[^<>\n]{3,})</(?P=name)>")
+KEYED_ELEMENT = re.compile(r"<[A-Za-z][\w.-]*\s[^<>]*?\b(?:key|name|id)\s*=\s*(?P<q>[\"'])(?P<name>[^\"'<>\n]{2,})(?P=q)[^<>]*?(?:\bvalue\s*=\s*(?P<q2>[\"'])(?P<value>[^\"'<>\n]{3,})(?P=q2)|>(?P<inner>[^<>\n]{3,})</)")
+LISTED = re.compile(r"\bname:\s*(?P<q>[\"']?)(?P<name>[\w.-]{2,})(?P=q)[ \t]*\r?\n[ \t]*value:[ \t]*(?P<q2>[\"']?)(?P<secret>[^\s\"'#][^\n\"'\r]*?)(?P=q2)[ \t]*(?=\r?$)", re.MULTILINE)
+DEFAULTED = re.compile(r"\bvariable\s+\"(?P<name>[\w-]{2,})\"\s*\{[^{}]*?\bdefault\s*=\s*\"(?P<secret>[^\"\n]{3,})\"")
+EMBEDDED_DEFAULT = re.compile(r"\$\{(?P<name>[A-Za-z_][\w.-]+):-?(?P<secret>[^\s${}\"'`]{4,})\}")
+CONFIGURE = re.compile(r"\b(?:configure\s+set|config\s+set|config(?:\s+--global)?|setx|set-secret|secrets?\s+set|setenv|env\s+set)\s+(?P<name>[A-Za-z][\w.:/-]{2,})[ =]+(?P<q>[\"']?)(?P<secret>[^\s'\"]{4,})(?P=q)")
 STORED_LOGIN = re.compile(r"[\"']auth[\"']\s*:\s*[\"'](?P<secret>[A-Za-z0-9+/]{8,}={0,2})[\"']")
 PASSWORD_FILE = re.compile(r"(?<![\w/.])[\w.*-]+:(?:\d{2,5}|\*):[\w.*-]+:[\w.@-]+:(?P<secret>[^\s'\":]{4,})")
 PIPED = re.compile(r"\becho\s+(?:-n\s+)?(?P<q>['\"]?)(?P<secret>[^\s'\"|:$][^\s'\"|:]{4,})(?P=q)\s*\|[^\n]*(?:--with-token|\bsudo\s+(?:-\w+\s+)*-S|--passphrase-fd|--stdin|\bkinit\b|--password-stdin|\blogin\b|\bpasswd\b|\bsecrets? (?:set|create|add)\b)")
 REMARKED = re.compile(r"^[ \t]*[\"']?(?:default|value|val|data|content|key)[\"']?[ \t]*[:=][ \t]*(?P<q>[\"'])(?P<secret>[^\"'\n]{4,})(?P=q)[^\n#/]*(?:#|//)[^\n]*\b(?:password|passphrase|secret|token|api[ _-]?key|private key|credentials?)\b", re.MULTILINE | re.IGNORECASE)
-NOTED = re.compile(r"^[ \t]*(?:#|//|;|--|/?\*+|<!--|REM)[^\n]*\b(?:logins?|credentials?|creds|accounts?|password|sign-?in|access)\b[^\n:]{0,60}:[ \t]*(?P<user>[A-Za-z0-9_.@-]{2,60})(?:[ \t]*/[ \t]*|[ \t]+(?:with|and)[ \t]+|:[ \t]?)(?P<secret>[^\s'\"`/]{5,})", re.MULTILINE | re.IGNORECASE)
+NOTED = re.compile(r"^[ \t]*(?:#|//|;|--|/?\*+|<!--|REM)[^\n]*\b(?:logins?|credentials?|creds|accounts?|password|sign-?in|access)\b[^\n:]*:[ \t]*(?P<user>[A-Za-z0-9_.@-]{2,})(?:[ \t]*/[ \t]*|[ \t]+(?:with|and)[ \t]+|:[ \t]?)(?P<secret>[^\s'\"`/]{5,})", re.MULTILINE | re.IGNORECASE)
 SPOKEN = re.compile(r"\b(?P<name>passwords?|passwd|pwd|passphrase|secret|token|api[ _-]?key|access key|credentials?|pass)\b(?:\s+(?:is|was|are|for\s+\S+(?:\s+\S+)?\s+is)\s*:?|\s+now)\s+(?P<q>['\"`]?)(?P<secret>[^\s'\"`,;]{5,})", re.IGNORECASE)
 LOGIN_LINE = re.compile(r"^\s*(?:machine\s+\S+\s+)?(?:login\s+\S+\s+)?(?P<name>password|passwd|requirepass|masterauth|pass)\s+(?P<q>['\"]?)(?P<secret>[^\s'\"]{5,})(?P=q)\s*$|\bmachine\s+\S+\s+login\s+\S+\s+password\s+(?P<secret2>[^\s'\"]{4,})", re.MULTILINE)
 BARE = re.compile(
-    r"^(?P<lead>[ \t]*(?:(?:#|//|;|--|/?\*+|<!--|REM|%)[ \t]*)?(?:-[ \t]+)?(?:(?:export|set|ENV|ARG|local|declare(?:\s+-\w+)?|readonly|setenv|env|Environment=)[ \t]*)?(?:[\"']?)(?:TODO[^:\n]*:[ \t]*|FIXME[^:\n]*:[ \t]*|old[ \t]+|temp(?:orary)?[ \t]+)?)(?P<name>[A-Za-z_$][\w.$-]{1,80})(?P<q0>[\"']?)(?P<op>[ \t]*(?:=|:=|:)[ \t]*|[ \t]+)(?P<secret>[^\s\"'`=][^\s\"'`]*)(?P<rest>[^\n]*)$",
+    r"^(?P<lead>[ \t]*(?:(?:#|//|;|--|/?\*+|<!--|REM|%)[ \t]*)?(?:-[ \t]+)?(?:(?:export|set|ENV|ARG|local|declare(?:\s+-\w+)?|readonly|setenv|env|Environment=)[ \t]*)?(?:[\"']?)(?:TODO[^:\n]*:[ \t]*|FIXME[^:\n]*:[ \t]*|old[ \t]+|temp(?:orary)?[ \t]+)?)(?P<name>[A-Za-z_$][\w.$-]+)(?P<q0>[\"']?)(?P<op>[ \t]*(?:=|:=|:)[ \t]*|[ \t]+)(?P<secret>[^\s\"'`=][^\s\"'`]*)(?P<rest>[^\n]*)$",
     re.MULTILINE,
 )
 LEXER = re.compile(
@@ -217,10 +222,11 @@ def _inner(token: str) -> tuple[int, int]:
     return a + width, end
 
 
-def _assigned(text: str) -> list[Secret]:
+def _assigned(text: str) -> list[Binding]:
     """Literals that stand for a credential-named identifier: assigned, compared, passed or mapped."""
     tokens = [(m.lastgroup, m.group(), m.start()) for m in LEXER.finditer(text)]
-    out: list[Secret] = []
+    arguments = _arguments(tokens)
+    out: list[Binding] = []
     i, n = 0, len(tokens)
     while i < n:
         kind, token, start = tokens[i]
@@ -252,15 +258,39 @@ def _assigned(text: str) -> list[Secret]:
         if "f" in prefix and "{" in value:
             i = j
             continue
-        strength = _context(tokens, i, j, text)
+        strength = _context(tokens, arguments, i, text)
         if strength == GUESSED:
             strength = 2 if len(value) >= 8 and any(c.isdigit() for c in value) and entropy(value) > 2.8 else 0
-        if strength and spans[0][1] > spans[0][0] and usable(value, strength):
-            out.append(Secret(spans[0][0], tuple(spans), "assigned"))
+        if strength and spans[0][1] > spans[0][0]:
+            out.append(Binding("code", strength, value, tuple(spans)))
         i = j
     return out
 
 
+def _arguments(tokens: list) -> dict[int, tuple[int, int, int]]:
+    """For each comma the bracket it stands in (on its line, else -1), how many commas that has had, and the last name or literal there (else -1).
+
+    One pass with a stack of brackets, which begins anew on every line.
+    """
+    out: dict[int, tuple[int, int, int]] = {}
+    frames: list[list[int]] = [[-1, 0, -1]]
+    for i, (kind, token, _) in enumerate(tokens):
+        if kind == "line":
+            frames = [[-1, 0, -1]]
+        elif kind in ("string", "name"):
+            frames[-1][2] = i
+        elif token in ("(", "[", "{"):
+            frames.append([i, 0, -1])
+        elif token in (")", "]", "}"):
+            frames.pop()
+            if not frames:
+                frames = [[-1, 0, -1]]
+        elif token == ",":
+            frames[-1][1] += 1
+            out[i] = (frames[-1][0], frames[-1][1], frames[-1][2])
+    return out
+
+
 def _opened(tokens: list, i: int) -> bool:
     return i > 0 and tokens[i - 1][1] in ("(", "[")
 
@@ -278,7 +308,7 @@ FALLBACKS = re.compile(r"(?i)(?:getenv|environ\.get|env\.get|env::var|get|getord
 SETTERS = re.compile(r"(?i)(?:setenv|put|setproperty|set|setitem|append|add|header|setheader|addheader|setrequestheader|define|putenv|store|insert|setattr|setattribute|adding|with|property|argument|queryparam|param|option|environ|update|setstring|register|config|configure|entry|pair|of)$")
 
 
-def _context(tokens: list, i: int, after: int, text: str) -> int:
+def _context(tokens: list, arguments: dict[int, tuple[int, int, int]], i: int, text: str) -> int:
     """The strength of the name that the literal at `i` stands for, 0 for none."""
     end = tokens[i][2] + len(tokens[i][1])
     if m := re.match(r"\s*\.(?:equals(?:IgnoreCase)?|compareTo|contentEquals|eql\?|equal\?)\(\s*([A-Za-z_]\w*)", text[end : end + 80]):
@@ -292,21 +322,8 @@ def _context(tokens: list, i: int, after: int, text: str) -> int:
         return 0
     # f(name, "value"), f("name", "value")
     if k >= 0 and tokens[k][1] == ",":
-        p, depth, before = k - 1, 0, None
-        position = 1
-        while p >= 0 and tokens[p][0] != "line":
-            t = tokens[p][1]
-            if t in ")]}":
-                depth += 1
-            elif t in "([{":
-                if not depth:
-                    break
-                depth -= 1
-            elif not depth and t == ",":
-                position += 1
-            elif not depth and before is None and tokens[p][0] in ("string", "name"):
-                before = tokens[p]
-            p -= 1
+        p, position, at = arguments[k]
+        before = tokens[at] if at >= 0 else None
         caller = tokens[p - 1][1] if p > 0 and tokens[p][1] == "(" and tokens[p - 1][0] == "name" else ""
         if before is None:
             return 0
@@ -325,7 +342,7 @@ def _context(tokens: list, i: int, after: int, text: str) -> int:
                 return 2
             if caller and CALLS.search(caller) and position == 1 and re.fullmatch(r"[\w.@\\-]{1,60}", key):
                 return 2
-            if not caller and tokens[p][1] == "(" and p > 0 and re.search(r"(?i)auth\w*\s*[=:]\s*$", text[: tokens[p][2]][-30:]):
+            if not caller and p > 0 and tokens[p][1] == "(" and re.search(r"(?i)auth\w*\s*[=:]\s*$", text[max(0, tokens[p][2] - 30) : tokens[p][2]]):
                 return 2
         if before[0] == "name" and caller and (SETTERS.search(caller) or re.search(r"(?i)setopt", caller)):
             return name_strength(name)
@@ -333,7 +350,7 @@ def _context(tokens: list, i: int, after: int, text: str) -> int:
             return 2
         return 0
     wrapped = 0
-    while k >= 0 and wrapped < 4:
+    while k >= 0:
         t, what = tokens[k][1], tokens[k][0]
         if t in ("(", "[", "{"):
             if k > 0 and tokens[k - 1][0] == "name":
@@ -374,7 +391,7 @@ def _context(tokens: list, i: int, after: int, text: str) -> int:
         # over a type: name: str = "..", name: Optional[str] = "..", char name[] = ".."
         best = 0
         steps = 0
-        while p >= 0 and steps < 9 and tokens[p][0] != "line":
+        while p >= 0 and tokens[p][0] != "line":
             what, token = tokens[p][0], tokens[p][1]
             if what == "name":
                 s = name_strength(token)
@@ -413,96 +430,219 @@ def _context(tokens: list, i: int, after: int, text: str) -> int:
     return 0
 
 
-def _add(found: list[Secret], kind: str, start: int, end: int) -> None:
-    if end > start:
-        found.append(Secret(start, ((start, end),), kind))
+@dataclass(frozen=True)
+class Binding:
+    """A value and the name it stands for: the mode that read it, how far the name speaks of a credential, the value and the places of its parts.
 
+    `bare`: the value stands without quotes, so words and names are not values. `proof`: what else must hold for it.
+    """
 
-def find_secrets(text: str | None, path: str | None = None) -> list[Secret]:
-    """The credentials in `text`, in order. `path` tells by its ending whether bare words are code or values."""
-    if not text:
-        return []
-    found: list[Secret] = []
+    mode: str
+    strength: int
+    value: str
+    parts: tuple[tuple[int, int], ...]
+    bare: bool = False
+    proof: str = ""
+
+
+# Where each mode is entered, in lower case; `!` ends words that no letter may follow. A line without any of them is read only as code, and
+# a text without those of `credential` and `code` not even as that.
+ENTRIES = {
+    "credential": "pass pwd pw! mdp contrasena senha secret token key cred jwt auth sas! pat! salt seed signature pin! pem! private hook dsn login account sign-in signin access".split(),
+    "code": "connect driver datasource pdo smtp imap ftp mysqli dial hmac jws fernet aes signwith given input entered supplied provided attempt guess candidate typed presented answer submitted received".split(),
+    "address": ["://"],
+    "query": ["sig=", "code="],
+    "header": ["bearer", "basic", "digest"],
+    "user": [" -u", "\t-u", "\n-u", "--user", "--proxy-user", "userpwd"],
+    "command": "echo sshpass docker mysql mariadb redis-cli ldap unzip zip openssl".split(),
+    "block": ["-----begin "],
+    "shape": "sk- sk_live_ sk_test_ pk_live_ pk_test_ rk_live_ rk_test_ ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- gldt- glrt- glptt- glsoat- xoxa- xoxb- xoxe- xoxo- xoxp- xoxr- xoxs- xapp- akia asia abia acca aiza ya29. npm_ pypi- sg. dckr_pat_ hf_ shpat_ shpca_ shppa_ shpss_ key- dop_v1_ hvs. lin_api_ eyj "
+    "_live_ _prod_ _test_ _pat_ _sec_ _key_ _secret_ _token_".split(),
+}
+ACCOUNT_FIELDS = re.compile(r":(?:\d{2,5}|\*):")
+
+
+@lru_cache(maxsize=1)
+def _entry_automaton() -> ahocorasick.Automaton:
+    automaton = ahocorasick.Automaton()
+    modes: dict[str, list[str]] = {}
+    for mode, words in ENTRIES.items():
+        for w in words:
+            modes.setdefault(w, []).append(mode)
+    for w, of in modes.items():
+        automaton.add_word(w.removesuffix("!"), (len(w.removesuffix("!")), w.endswith("!"), tuple(of)))
+    automaton.make_automaton()
+    return automaton
+
+
+def _entered(text: str) -> list[tuple[int, int, set[str]]]:
+    """The lines on which modes are entered: begin, end and which."""
     low = text.lower()
-    for m in PRIVATE_KEY.finditer(text):
-        body = m.group("body")
-        if "ENCRYPTED" in m.group(1) or "ENCRYPTED" in body[:120]:
-            continue
-        runs = [(m.start("body") + r.start(), m.start("body") + r.end()) for r in BASE64_RUN.finditer(body.replace("\\n", "  "))]
-        if sum(b - a for a, b in runs) >= 40:
-            found.append(Secret(m.start(), tuple(runs), "private_key"))
-    for m in KNOWN.finditer(text):
+    if len(low) != len(text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    out: list[tuple[int, int, set[str]]] = []
+    hits = [(end - n + 1, modes) for end, (n, whole, modes) in _entry_automaton().iter(low) if not (whole and low[end + 1 : end + 2].isalpha())]
+    if ":" in text:
+        hits += [(m.start(), ("file",)) for m in ACCOUNT_FIELDS.finditer(text)]
+        hits.sort(key=lambda h: h[0])
+    for at, modes in hits:
+        if text[at] == "\n":
+            at += 1
+        if out and at <= out[-1][1]:
+            if at >= out[-1][0]:
+                out[-1][2].update(modes)
+                continue
+        a = text.rfind("\n", 0, at) + 1
+        b = text.find("\n", at)
+        if out and out[-1][0] == a:
+            out[-1][2].update(modes)
+        else:
+            out.append((a, len(text) if b < 0 else b, set(modes)))
+    return out
+
+
+def _one(mode: str, strength: int, text: str, a: int, b: int, *, bare: bool = False, proof: str = "") -> Binding:
+    return Binding(mode, strength, text[a:b], ((a, b),), bare, proof)
+
+
+def _key_files(text: str, a: int) -> Iterator[Binding]:
+    if not (m := PRIVATE_KEY.search(text, a)):
+        return
+    body = m.group("body")
+    if "ENCRYPTED" not in m.group(1) and "ENCRYPTED" not in body[:120]:
+        runs = tuple((m.start("body") + r.start(), m.start("body") + r.end()) for r in BASE64_RUN.finditer(body.replace("\\n", "  ")))
+        if sum(y - x for x, y in runs) >= 40:
+            yield Binding("private_key", 2, m.group(), ((m.start(), m.start()), *runs), proof="shown")
+
+
+def _shapes(text: str, a: int, b: int) -> Iterator[Binding]:
+    for m in KNOWN.finditer(text, a, b):
         v = m.group()
         if not re.search(r"(?i)example|x{6}|\*{3}|0{8}|1234567890|your|placeholder|redacted", v) and len(set(v)) > 9:
-            _add(found, "token", m.start(), m.end())
-    if "://" in text:
-        for m in ADDRESS.finditer(text):
-            v = m.group("secret")
-            if (usable(v) or usable(re.sub(r"%[0-9A-Fa-f]{2}", "#", v))) and not REFERENCE.search(m.group("user") or "u"):
-                _add(found, "address", m.start("secret"), m.end("secret"))
-        for m in ADDRESS_TOKEN.finditer(text):
-            if usable(m.group("secret"), 1):
-                _add(found, "address", m.start("secret"), m.end("secret"))
-        for m in PARAMETER.finditer(text):
-            if re.fullmatch(r"(?i)(?:.*[_-])?(?:token|key|secret|password|pwd|pass|passwd|sig|signature|auth|apikey|api_key|access_key|credential|code|sas)", m.group("name")) and usable(m.group("secret")) and (len(m.group("secret")) >= 12 or name_strength(m.group("name")) == 2):
-                _add(found, "address", m.start("secret"), m.end("secret"))
-    if "bearer" in low or "basic" in low or "authorization" in low:
-        for m in HEADER.finditer(text):
-            kind, v = m.group("kind").lower(), m.group("secret")
-            if kind == "basic" and _basic(v) or kind == "bearer" and usable(v, 1) or kind in ("token", "apikey") and "authorization" in low and usable(v, 1):
-                _add(found, "header", m.start("secret"), m.end("secret"))
-    for pattern in (USER_OPTION, CHPASSWD, PASS_COMMANDS, PIPED, REMARKED, NOTED, PASSWORD_FILE):
-        for m in pattern.finditer(text):
-            if usable(m.group("secret")):
-                _add(found, "command", m.start("secret"), m.end("secret"))
-    for m in STORED_LOGIN.finditer(text):
-        if _basic(m.group("secret")):
-            _add(found, "header", m.start("secret"), m.end("secret"))
-    found += _assigned(text)
-    ending = (path or "").rsplit(".", 1)[-1].lower() if "." in (path or "").rsplit("/", 1)[-1] else ""
-    for pattern in (NAMED_ARGUMENT, CONFIGURE, EMBEDDED_DEFAULT, LISTED, DEFAULTED, CONNECTION, ELEMENT):
-        for m in pattern.finditer(text):
-            v = m.group("secret")
-            s = name_strength(m.group("name"))
-            if not s or not usable(v, s, pattern is not NAMED_ARGUMENT):
-                continue
-            if pattern is CONNECTION and ending in CODE and _is_code_word(text, m.start("secret"), v):
-                continue
-            _add(found, "named", m.start("secret"), m.end("secret"))
-    for m in KEYED_ELEMENT.finditer(text):
-        group = "value" if m.group("value") else "inner"
-        if (s := name_strength(m.group("name"))) and usable(m.group(group), s):
-            _add(found, "named", m.start(group), m.end(group))
-    for m in SPOKEN.finditer(text):
-        v = m.group("secret").rstrip(".,;:)!?") if not re.search(r"\d[!?]$", m.group("secret")) else m.group("secret")
-        if usable(v) and any(c.isdigit() for c in v):
-            _add(found, "spoken", m.start("secret"), m.start("secret") + len(v))
-    for m in LOGIN_LINE.finditer(text):
+            yield _one("shape", 2, text, *m.span(), proof="shown")
+
+
+def _addresses(text: str, a: int, b: int) -> Iterator[Binding]:
+    for m in ADDRESS.finditer(text, a, b):
+        if not REFERENCE.search(m.group("user") or "u"):
+            yield _one("address", 2, text, *m.span("secret"), proof="escaped")
+    for m in ADDRESS_TOKEN.finditer(text, a, b):
+        yield _one("address", 1, text, *m.span("secret"))
+
+
+def _queries(text: str, a: int, b: int) -> Iterator[Binding]:
+    for m in PARAMETER.finditer(text, a, b):
+        if QUERY_NAME.fullmatch(m.group("name")) and (len(m.group("secret")) >= 12 or name_strength(m.group("name")) == 2):
+            yield _one("query", 2, text, *m.span("secret"))
+
+
+def _headers(text: str, a: int, b: int, authorized: bool) -> Iterator[Binding]:
+    for m in HEADER.finditer(text, a, b):
+        kind = m.group("kind").lower()
+        if kind == "basic":
+            yield _one("header", 2, text, *m.span("secret"), proof="basic")
+        elif kind == "bearer" or kind in ("token", "apikey") and authorized:
+            yield _one("header", 1, text, *m.span("secret"))
+
+
+def _commands(text: str, a: int, b: int, patterns: tuple[re.Pattern, ...]) -> Iterator[Binding]:
+    for pattern in patterns:
+        for m in pattern.finditer(text, a, b):
+            yield _one("command", 2, text, *m.span("secret"))
+
+
+def _settings(text: str, a: int, b: int, ending: str) -> Iterator[Binding]:
+    """Settings, options, markup, key files of programs and remarks on one line; some go on in the next."""
+    after = text.find("\n", b + 1)
+    after = len(text) if after < 0 else after
+    for pattern, end in ((NAMED_ARGUMENT, b), (CONFIGURE, b), (EMBEDDED_DEFAULT, b), (LISTED, after), (DEFAULTED, len(text)), (CONNECTION, b), (ELEMENT, b)):
+        for m in pattern.finditer(text, a, end):
+            if m.start() > b:
+                break
+            if (s := name_strength(m.group("name"))) and not (pattern is CONNECTION and ending in CODE and _is_code_word(text, m.start("secret"), m.group("secret"))):
+                yield _one("setting", s, text, *m.span("secret"), bare=pattern is NAMED_ARGUMENT)
+            if pattern is DEFAULTED:
+                break
+    if m := STORED_LOGIN.search(text, a, b):
+        yield _one("setting", 2, text, *m.span("secret"), proof="basic")
+    for pattern in (REMARKED, NOTED):
+        if m := pattern.match(text, a, b):
+            yield _one("remark", 2, text, *m.span("secret"))
+    for m in SPOKEN.finditer(text, a, b):
+        v = m.group("secret")
+        v = v if re.search(r"\d[!?]$", v) else v.rstrip(".,;:)!?")
+        if any(c.isdigit() for c in v):
+            yield _one("remark", 2, text, m.start("secret"), m.start("secret") + len(v))
+    for m in LOGIN_LINE.finditer(text, a, b):
         group = "secret2" if m.group("secret2") else "secret"
-        if usable(m.group(group), 2, False) and not _is_expression(m.group(group)):
-            _add(found, "named", m.start(group), m.end(group))
-    for m in BARE.finditer(text):
-        op, v, rest = m.group("op"), m.group("secret"), m.group("rest")
-        s = name_strength(m.group("name"))
-        if not s:
-            continue
-        lead = m.group("lead").strip()
-        spaced = not op.strip()
-        if spaced and not re.match(r"(?:ENV|ARG|setenv|set)\b", lead):
-            continue
-        commented = bool(re.match(r"(?:#|//|;|--|/?\*|<!--|REM|%)", lead))
-        if rest.strip() and not re.match(r"\s*(?:[#;,\\]|//|--|&&|\|\|?|>|-->|\*/|<|psql\b|[a-z./][\w./-]*\s)", rest):
-            continue
-        if commented and re.match(r"\s+[A-Za-z]", rest):
-            continue
-        if ending in CODE and not commented:
-            continue
-        v = re.sub(r"[,;]+$", "", v)
-        v = re.sub(r"</.*$|\*/$|-->$", "", v)
-        if _is_expression(v) or not usable(v, s, False):
-            continue
-        _add(found, "bare", m.start("secret"), m.start("secret") + len(v))
-    return _merged(found)
+        yield _one("setting", 2, text, *m.span(group), bare=True, proof="value")
+    if m := BARE.match(text, a, b):
+        yield from _bare_setting(text, m, ending)
+
+
+def _bare_setting(text: str, m: re.Match, ending: str) -> Iterator[Binding]:
+    """name = value without quotes, where the line is no code."""
+    op, rest, lead = m.group("op"), m.group("rest"), m.group("lead").strip()
+    strength = name_strength(m.group("name"))
+    commented = bool(re.match(r"(?:#|//|;|--|/?\*|<!--|REM|%)", lead))
+    if not strength or ending in CODE and not commented or not op.strip() and not re.match(r"(?:ENV|ARG|setenv|set)\b", lead):
+        return
+    if rest.strip() and not re.match(r"\s*(?:[#;,\\]|//|--|&&|\|\|?|>|-->|\*/|<|psql\b|[a-z./][\w./-]*\s)", rest) or commented and re.match(r"\s+[A-Za-z]", rest):
+        return
+    v = re.sub(r"</.*$|\*/$|-->$", "", re.sub(r"[,;]+$", "", m.group("secret")))
+    yield _one("setting", strength, text, m.start("secret"), m.start("secret") + len(v), bare=True, proof="value")
+
+
+def bindings(text: str, path: str | None = None) -> Iterator[Binding]:
+    """What the lexer reads in all its modes. `path` tells by its ending whether bare words are code or values."""
+    ending = (path or "").rsplit(".", 1)[-1].lower() if "." in (path or "").rsplit("/", 1)[-1] else ""
+    lines = _entered(text)
+    entered = set().union(*(modes for _, _, modes in lines))
+    if not entered.isdisjoint(("credential", "code")):
+        yield from _assigned(text)
+    authorized = "credential" in entered and "authorization" in text.lower()
+    for a, b, modes in lines:
+        if "block" in modes:
+            yield from _key_files(text, a)
+        if "shape" in modes:
+            yield from _shapes(text, a, b)
+        if "address" in modes:
+            yield from _addresses(text, a, b)
+        if not modes.isdisjoint(("query", "credential")) and "=" in text[a:b]:
+            yield from _queries(text, a, b)
+        if "header" in modes or "credential" in modes:
+            yield from _headers(text, a, b, authorized)
+        if "command" in modes:
+            yield from _commands(text, a, b, (CHPASSWD, PASS_COMMANDS, PIPED))
+        if "user" in modes:
+            yield from _commands(text, a, b, (USER_OPTION,))
+        if "file" in modes:
+            yield from _commands(text, a, b, (PASSWORD_FILE,))
+        if "credential" in modes:
+            yield from _settings(text, a, b, ending)
+    if "<" in text and "credential" in entered:
+        for m in KEYED_ELEMENT.finditer(text):
+            group = "value" if m.group("value") else "inner"
+            if s := name_strength(m.group("name")):
+                yield _one("setting", s, text, *m.span(group))
+
+
+def is_credential(b: Binding) -> bool:
+    """Whether the value of a binding is a usable credential."""
+    if b.proof == "shown":
+        return True
+    if b.proof == "basic":
+        return _basic(b.value)
+    if b.proof == "value" and _is_expression(b.value):
+        return False
+    return usable(b.value, b.strength, not b.bare) or b.proof == "escaped" and usable(re.sub(r"%[0-9A-Fa-f]{2}", "#", b.value))
+
+
+def find_secrets(text: str | None, path: str | None = None) -> list[Secret]:
+    """The credentials in `text`, in order. `path` tells by its ending whether bare words are code or values."""
+    if not text:
+        return []
+    return _merged([Secret(b.parts[0][0], tuple(p for p in b.parts if p[1] > p[0]), b.mode) for b in bindings(text, path) if b.parts[-1][1] > b.parts[0][0] and is_credential(b)])
 
 
 def _is_expression(v: str) -> bool:
@@ -520,9 +660,11 @@ def _merged(found: list[Secret]) -> list[Secret]:
     """Overlapping finds once, the first and longest first."""
     found.sort(key=lambda s: (s.start, -s.parts[-1][1]))
     out: list[Secret] = []
+    until = 0
     for s in found:
-        if not any(a < b2 and a2 < b for a, b in s.parts for o in out for a2, b2 in o.parts) and not any(o.start <= s.start < o.parts[-1][1] for o in out):
+        if s.start >= until:
             out.append(s)
+            until = s.parts[-1][1]
     return out
 
 
