@@ -92,7 +92,7 @@ def test_long_values_and_deep_wrappers_are_whole():
     value = "aB3x" * 40_000
     text = f'token = "{value}"\npassword = a(b(c(str(bytes(decode(quote("Zx81kQ9!kTmm")))))))'
     assert [text[s.parts[0][0] : s.parts[-1][1]] for s in S.find_secrets(text, "a.py")][0] == value
-    wrapped = 'secret: Optional[Annotated[Union[A, B], C]] = str(bytes(str(bytes(str(bytes("Zx81kQ9!kTmm"))))))'
+    wrapped = 'secret: Optional[List[Tuple[Set[Frozen[Final[str]]]]]] = str(bytes(str(bytes(str(bytes("Zx81kQ9!kTmm"))))))'
     assert len(S.find_secrets(wrapped, "a.py")) == 1
 
 
