@@ -41,6 +41,30 @@ def ngrams(items: Column, n: int, separator: str = " ") -> Column:
     return joined
 
 
+def code_words(text: Column, stops: list[str]) -> Column:
+    """Names in code, in lower case, without comments, literals, `stops` and single letters."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?s)/\*.*?\*/", " "), r"(//|#)[^\n]*", " "), r"\"[^\"\n]*\"|'[^'\n]*'", " ")
+    found = F.regexp_extract_all(F.lower(bare), F.lit(r"[a-z_][a-z0-9_]*"), 0)
+    return F.filter(found, lambda w: (F.length(w) > 1) & ~w.isin(stops)) if stops else F.filter(found, lambda w: F.length(w) > 1)
+
+
+def numbered(items: Column) -> Column:
+    """The items with the number of their occurrence, so that sets of them are multisets: sorted, each behind its place among its equals."""
+    ordered = F.array_sort(items)
+    return F.transform(ordered, lambda x, i: F.concat(x, F.lit("#"), (i - F.array_position(ordered, x).cast("int")).cast("string")))
+
+
+def canonical_json(*columns: str) -> Column:
+    """The columns as JSON with sorted keys, without blanks, nulls kept."""
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+
+
+def fnv1a(column: str) -> Column:
+    """FNV-1a of 32 bits over the characters' codes (of single-byte characters: over the bytes)."""
+    codes = F.transform(F.split(F.col(column), ""), lambda c: F.ascii(c).cast("long"))
+    return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda a, x: F.pmod(a.bitwiseXOR(x) * 16777619, F.lit(4294967296)))
+
+
 def char_entropy(text: Column) -> Column:
     """Shannon entropy of the characters in bits, inside the row: no explosion and no exchange."""
     size = F.length(text)

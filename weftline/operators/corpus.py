@@ -51,14 +51,41 @@ def shared_windows(df: DataFrame, row: str, text: Column, size: int) -> DataFram
     return runs.groupBy(row, "_run").agg((F.min("_at") + 1).alias("first"), (F.max("_at") + size).alias("last")).drop("_run")
 
 
-def near_duplicates(df: DataFrame, row: str, text: Column, *, words: int = 5, least: float = 0.8) -> DataFrame:
+def split_variants(source: Column) -> Column:
+    """flawed, fixed of a text with blocks `#ifndef OMITBAD` and `#ifndef OMITGOOD` to their `#endif`; null unless it has both."""
+    block = lambda name: rf"(?s)#ifndef {name}\b(.*?)#endif[ \t]*(?:/\*[^\n]*?\*/)?"
+    without = lambda gone, kept: F.regexp_replace(F.regexp_replace(source, block(gone), ""), block(kept), "$1")
+    both = source.rlike(block("OMITBAD")) & source.rlike(block("OMITGOOD"))
+    return F.when(both, F.struct(without("OMITGOOD", "OMITBAD").alias("flawed"), without("OMITBAD", "OMITGOOD").alias("fixed")))
+
+
+def weighted_cosines(df: DataFrame, row: str, words: Column, patterns: DataFrame, *, least: float) -> DataFrame:
+    """row, pattern, score of pairs with a cosine of term weights of `least` or more (to four places). `patterns`: pattern, text; a short list, broadcast.
+
+    A term weighs its count times ln((N + 1) / (df + 1)) + 1; terms that no row has weigh their count. Only terms of patterns reach the join;
+    the lengths of the rows come from one aggregation.
+    """
+    per = df.select(row, F.explode(words).alias("word")).groupBy(row, "word").agg(F.count(F.lit(1)).alias("n"))
+    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    seen = per.groupBy(F.col("word").alias("_w")).agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total)).select("_w", (F.log((F.col("_total") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    own = per.join(seen, F.col("word") == F.col("_w")).select(row, "word", (F.col("n") * F.col("idf")).alias("x"))
+    terms = patterns.select("pattern", F.explode(T.words(F.col("text"))).alias("t")).groupBy("pattern", "t").agg(F.count(F.lit(1)).alias("n"))
+    weights = terms.join(seen, F.col("t") == F.col("_w"), "left").select("pattern", "t", (F.col("n") * F.coalesce("idf", F.lit(1.0))).alias("y"))
+    lengths = weights.groupBy(F.col("pattern").alias("_p")).agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("_lp"))
+    norm = own.groupBy(F.col(row).alias("_r")).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_l"))
+    dots = own.join(F.broadcast(weights), F.col("word") == F.col("t")).groupBy(row, "pattern").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    scored = dots.join(norm, F.col(row) == F.col("_r")).join(F.broadcast(lengths), F.col("pattern") == F.col("_p")).select(row, "pattern", F.round(F.col("dot") / F.col("_l") / F.col("_lp"), 4).alias("score"))
+    return scored.where(F.col("score") >= least)
+
+
+def near_duplicates(df: DataFrame, row: str, text: Column, *, words: int = 5, least: float = 0.8, shingles: Column | None = None) -> DataFrame:
     """row, group, links: row's class of equal shingle sets, and the number of other classes with a similarity of `least` or more.
 
     Similarity is the Jaccard measure of word shingles. Rows with the same set form one class, so copies are never paired.
     Two similar sets share a shingle among the rarest |S| - ceil(least |S|) + 1 of each, hence only those are joined, and the
     sizes must fit; every candidate is then verified on its whole sets. Texts without a shingle stand alone.
     """
-    sets = df.select(row, F.array_sort(F.array_distinct(T.ngrams(T.words(text), words))).alias("_s"))
+    sets = df.select(row, F.array_sort(F.array_distinct(T.ngrams(T.words(text), words) if shingles is None else shingles)).alias("_s"))
     keyed = sets.withColumn("_k", F.when(F.size("_s") > 0, F.sha2(F.array_join("_s", "\n"), 256)))
     members = keyed.where("_k is not null").groupBy("_k").agg(F.min(row).alias("group"), F.any_value("_s").alias("_s"))
     frequency = members.select(F.explode("_s").alias("_t")).groupBy("_t").agg(F.count(F.lit(1)).alias("_f"))

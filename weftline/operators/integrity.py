@@ -74,6 +74,41 @@ def chain_breaks(chain: DataFrame, key: list[str], seq: str, previous: str, dige
     return bad.where("_bad").groupBy(*key).agg(F.min(seq).alias("first_broken"))
 
 
+def build_chain(rows: DataFrame, key: str, seq: str, payload: str) -> DataFrame:
+    """`rows` with previous and digest: SHA-256 over the digest before (empty at first) and the payload, in the order of seq.
+
+    A chain can't be cut, so each is one task; it is read in Arrow batches and never held whole.
+    """
+    import hashlib
+    from collections.abc import Iterator
+
+    ship(rows.sparkSession)
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, last = None, ""
+        for batch in batches:
+            before, own = [], []
+            for k, p in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if known is None or k != known:
+                    known, last = k, ""
+                before.append(last)
+                last = hashlib.sha256(f"{last}|{p or ''}".encode()).hexdigest()
+                own.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(own, pa.string())], names=[key, seq, payload, "previous", "digest"])
+
+    ordered = rows.select(key, seq, payload).where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, seq)
+    return ordered.mapInArrow(run, f"{key} {kinds[key]}, {seq} {kinds[seq]}, {payload} {kinds[payload]}, previous string, digest string")
+
+
+def fold_results(results: DataFrame, shard: str, rows: str, asked: DataFrame, wanted: str) -> DataFrame:
+    """state, shards, rows: results added up where exactly one answers for an asked shard; missing, duplicate and foreign ones apart."""
+    own = results.groupBy(F.col(shard).alias("_s")).agg(F.count(F.lit(1)).alias("_k"), F.sum(rows).alias("_n"))
+    both = own.join(asked.select(F.col(wanted).alias("_w")).distinct(), F.col("_s") == F.col("_w"), "full_outer")
+    state = F.when(F.col("_w").isNull(), "foreign").when(F.col("_s").isNull(), "missing").when(F.col("_k") > 1, "duplicate").otherwise("accepted")
+    return both.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("shards"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"))
+
+
 def acceptance(snapshots: DataFrame, key: list[str], order: str, seq: str, digest: str) -> DataFrame:
     """`snapshots` with `verdict`: accepted, repeated (same content), equivocation (same number, other content), rollback (lower number)."""
     w = Window.partitionBy(*key).orderBy(order)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import business, corpora, evaluation, problems, store, structures
+from weftline.plans import business, corpora, evaluation, matching, problems, scores, sourced, store, structures
 
-REGISTRIES = (business.registry, store.registry, evaluation.registry, corpora.registry, structures.registry)
+REGISTRIES = (business.registry, store.registry, evaluation.registry, corpora.registry, structures.registry, matching.registry, scores.registry, sourced.registry)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
