@@ -26,7 +26,7 @@ def parse_utc(text: Column) -> Column:
 
 
 def version_key(version: Column) -> Column:
-    """An array that orders versions: six numbers, padded with 0, then 1 for releases and 0 for pre-releases, then the number after it.
+    """What orders versions: all numbers but zeros at the end, then the rank of a release or pre-release, then the number after it.
 
     Null for texts that begin with no number, so comparisons with them are inconclusive.
     """
@@ -35,9 +35,11 @@ def version_key(version: Column) -> Column:
     pre = F.regexp_extract(bare, r"^\d+(?:\.\d+)*[-._]?(a|alpha|b|beta|c|rc|pre|preview|dev)", 1)
     number = F.regexp_extract(bare, r"(?:a|alpha|b|beta|c|rc|pre|preview|dev)[-._]?(\d+)", 1)
     parts = F.transform(F.split(release, r"\."), lambda p: F.coalesce(p.try_cast("long"), F.lit(0).cast("long")))
-    padded = F.slice(F.concat(parts, F.array_repeat(F.lit(0).cast("long"), 6)), 1, 6)
+    # zeros at the end say nothing: they are dropped from the last place that is none
+    kept = F.array_max(F.transform(parts, lambda p, i: F.when(p != 0, i + 1).otherwise(0)))
+    numbers = F.slice(parts, F.lit(1), kept)
     rank = F.when(pre == "", 4).when(pre.isin("rc", "c", "pre", "preview"), 3).when(pre.isin("b", "beta"), 2).when(pre.isin("a", "alpha"), 1).otherwise(0).cast("long")
-    return F.when(release != "", F.concat(padded, F.array(rank, F.coalesce(number.try_cast("long"), F.lit(0).cast("long")))))
+    return F.when(release != "", F.struct(numbers.alias("numbers"), rank.alias("rank"), F.coalesce(number.try_cast("long"), F.lit(0).cast("long")).alias("n")))
 
 
 def in_range(version: Column, spec: Column) -> Column:

@@ -1,6 +1,7 @@
 """Graph operators as semi-naive loops: each round joins only what the round before added, and cuts its lineage.
 
-Every loop has a bound and says whether it came to an end, so a result that stopped early is never taken for a whole one.
+Every loop ends by itself, as each round must add something; a bound may be set, and then the loop says whether it came to its end, so a
+result that stopped early is never taken for a whole one.
 """
 
 from __future__ import annotations
@@ -34,12 +35,12 @@ def grown(known: DataFrame, fresh: DataFrame, rounds: int) -> DataFrame:
     return cut(both) if rounds % 8 == 0 else both
 
 
-def reachable(edges: DataFrame, sources: DataFrame, *, src: str = "src", dst: str = "dst", max_rounds: int = 200) -> Fixpoint:
+def reachable(edges: DataFrame, sources: DataFrame, *, src: str = "src", dst: str = "dst", max_rounds: int | None = None) -> Fixpoint:
     """node, hops: everything reachable from `sources` (one column), with the least number of edges. Cycles end by themselves."""
     links = edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).where("_s is not null and _d is not null").distinct()
     seen = cut(sources.select(F.col(sources.columns[0]).alias("node")).where("node is not null").distinct().withColumn("hops", F.lit(0)))
     frontier, rounds = seen, 0
-    while rounds < max_rounds:
+    while max_rounds is None or rounds < max_rounds:
         rounds += 1
         found = frontier.join(links, F.col("node") == F.col("_s")).select(F.col("_d").alias("node")).distinct()
         fresh = cut(found.join(seen.select(F.col("node").alias("_n")), F.col("node") == F.col("_n"), "left_anti").withColumn("hops", F.lit(rounds)))
@@ -49,17 +50,17 @@ def reachable(edges: DataFrame, sources: DataFrame, *, src: str = "src", dst: st
     return Fixpoint(seen, rounds, False)
 
 
-def impacted(edges: DataFrame, changed: DataFrame, *, src: str = "src", dst: str = "dst", max_rounds: int = 200) -> Fixpoint:
+def impacted(edges: DataFrame, changed: DataFrame, *, src: str = "src", dst: str = "dst", max_rounds: int | None = None) -> Fixpoint:
     """Everything that depends on `changed`: reachability against the direction of the edges."""
     return reachable(edges, changed, src=dst, dst=src, max_rounds=max_rounds)
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, *, src: str = "src", dst: str = "dst", max_rounds: int = 50) -> Fixpoint:
+def shortest_paths(edges: DataFrame, sources: DataFrame, *, src: str = "src", dst: str = "dst", max_rounds: int | None = None) -> Fixpoint:
     """node, path: the shortest path from any source; of equal ones the least in order."""
     links = edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).where("_s is not null and _d is not null").distinct()
     seen = cut(sources.select(F.col(sources.columns[0]).alias("node")).distinct().withColumn("path", F.array("node")))
     frontier, rounds = seen, 0
-    while rounds < max_rounds:
+    while max_rounds is None or rounds < max_rounds:
         rounds += 1
         found = frontier.join(links, F.col("node") == F.col("_s")).select(F.col("_d").alias("node"), F.concat("path", F.array("_d")).alias("path")).groupBy("node").agg(F.min("path").alias("path"))
         fresh = cut(found.join(seen.select(F.col("node").alias("_n")), F.col("node") == F.col("_n"), "left_anti"))
@@ -69,12 +70,12 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, *, src: str = "src", ds
     return Fixpoint(seen, rounds, False)
 
 
-def least_costs(edges: DataFrame, sources: DataFrame, weight: str, *, src: str = "src", dst: str = "dst", max_rounds: int = 200) -> Fixpoint:
+def least_costs(edges: DataFrame, sources: DataFrame, weight: str, *, src: str = "src", dst: str = "dst", max_rounds: int | None = None) -> Fixpoint:
     """node, cost: least sum of weights (not negative) from any source; only nodes whose cost fell are looked at again."""
     links = edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d"), F.col(weight).cast("double").alias("_w"))
     best = cut(sources.select(F.col(sources.columns[0]).alias("node")).distinct().withColumn("cost", F.lit(0.0)))
     frontier, rounds = best, 0
-    while rounds < max_rounds:
+    while max_rounds is None or rounds < max_rounds:
         rounds += 1
         found = frontier.join(links, F.col("node") == F.col("_s")).groupBy(F.col("_d").alias("node")).agg(F.min(F.col("cost") + F.col("_w")).alias("cost"))
         known = best.select(F.col("node").alias("_n"), F.col("cost").alias("_c"))
@@ -85,7 +86,7 @@ def least_costs(edges: DataFrame, sources: DataFrame, weight: str, *, src: str =
     return Fixpoint(best, rounds, False)
 
 
-def components(edges: DataFrame, *, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> Fixpoint:
+def components(edges: DataFrame, *, src: str = "src", dst: str = "dst", max_rounds: int | None = None) -> Fixpoint:
     """node, component: connected components without direction, named by their least node.
 
     Each round a node takes the least label around it and then the label of that label, so chains shorten quickly.
@@ -94,7 +95,7 @@ def components(edges: DataFrame, *, src: str = "src", dst: str = "dst", max_roun
     both = cut(both.unionByName(both.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"))).distinct())
     labels = cut(both.groupBy(F.col("_a").alias("node")).agg(F.least(F.min("_a"), F.min("_b")).alias("component")))
     rounds = 0
-    while rounds < max_rounds:
+    while max_rounds is None or rounds < max_rounds:
         rounds += 1
         around = both.join(labels, F.col("_b") == F.col("node")).groupBy("_a").agg(F.min("component").alias("_m"))
         step = labels.join(around, F.col("node") == F.col("_a")).select("node", F.least("component", "_m").alias("component"), F.col("component").alias("_old"))
@@ -107,14 +108,16 @@ def components(edges: DataFrame, *, src: str = "src", dst: str = "dst", max_roun
     return Fixpoint(labels, rounds, False)
 
 
-def _least_label(nodes: DataFrame, links: DataFrame, max_rounds: int) -> DataFrame:
+def _least_label(nodes: DataFrame, links: DataFrame, max_rounds: int | None) -> DataFrame:
     """node, label: the least label among a node and all that reach it along `links` (s, d).
 
     A label is (hash of a node, node). Whatever reaches a label's node reaches all that carry the label, so a node also takes
     the label of its label's node, and distances halve every round.
     """
     marks = cut(nodes.select("node", F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("n")).alias("label")))
-    for _ in range(max_rounds):
+    rounds = 0
+    while max_rounds is None or rounds < max_rounds:
+        rounds += 1
         pushed = links.join(marks, F.col("s") == F.col("node")).groupBy(F.col("d").alias("_d")).agg(F.min("label").alias("_p"))
         step = marks.join(pushed, F.col("node") == F.col("_d"), "left").select("node", F.least("label", F.coalesce("_p", "label")).alias("label"), F.col("label").alias("_old"))
         jump = step.select(F.col("node").alias("_j"), F.col("label").alias("_l"))
@@ -126,7 +129,7 @@ def _least_label(nodes: DataFrame, links: DataFrame, max_rounds: int) -> DataFra
     raise RuntimeError(f"labels not settled after {max_rounds} rounds")
 
 
-def strong_components(edges: DataFrame, *, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> Fixpoint:
+def strong_components(edges: DataFrame, *, src: str = "src", dst: str = "dst", max_rounds: int | None = None) -> Fixpoint:
     """node, component: strongly connected components, named by their least node.
 
     In each round every node learns the least label that reaches it and the least that it reaches. Where both are the same the node lies
@@ -136,7 +139,7 @@ def strong_components(edges: DataFrame, *, src: str = "src", dst: str = "dst", m
     links = edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s is not null and d is not null").distinct()
     left_nodes = cut(links.select(F.col("s").alias("node")).unionByName(links.select(F.col("d").alias("node"))).distinct())
     left, done, rounds = cut(links.where("s <> d")), left_nodes.limit(0).select("node", F.col("node").alias("root")), 0
-    while rounds < max_rounds and not left_nodes.isEmpty():
+    while (max_rounds is None or rounds < max_rounds) and not left_nodes.isEmpty():
         rounds += 1
         before = _least_label(left_nodes, left, max_rounds).select("node", F.col("label.n").alias("f"))
         after = _least_label(left_nodes, left.select(F.col("d").alias("s"), F.col("s").alias("d")), max_rounds).select(F.col("node").alias("_n"), F.col("label.n").alias("b"))
@@ -161,11 +164,11 @@ def bounded_paths(edges: DataFrame, sources: DataFrame, max_nodes: int, *, src:
     return out
 
 
-def propagate(facts: DataFrame, edges: DataFrame, *, max_rounds: int = 10) -> Fixpoint:
-    """node, fact: facts carried along edges (src, dst) to a fixpoint, at most `max_rounds` rounds."""
+def propagate(facts: DataFrame, edges: DataFrame, *, max_rounds: int | None = None) -> Fixpoint:
+    """node, fact: facts carried along edges (src, dst) to a fixpoint, at most `max_rounds` rounds where that is set."""
     known = cut(facts.select("node", "fact").distinct())
     frontier, rounds = known, 0
-    while rounds < max_rounds:
+    while max_rounds is None or rounds < max_rounds:
         rounds += 1
         found = frontier.join(edges.select("src", "dst"), F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "fact").distinct()
         old = known.select(F.col("node").alias("_n"), F.col("fact").alias("_f"))
@@ -187,7 +190,7 @@ def integrity(nodes: DataFrame, edges: DataFrame, *, src: str = "src", dst: str
     return twice.unionByName(missing).unionByName(again)
 
 
-def spanning_forest(edges: DataFrame, weight: str, *, src: str = "src", dst: str = "dst", max_rounds: int = 40) -> Fixpoint:
+def spanning_forest(edges: DataFrame, weight: str, *, src: str = "src", dst: str = "dst", max_rounds: int | None = None) -> Fixpoint:
     """src, dst, weight: a lightest spanning forest of the edges taken without direction; equal weights by src, then dst.
 
     In each round every tree takes its lightest edge to another one, so the number of trees at least halves.
@@ -195,7 +198,7 @@ def spanning_forest(edges: DataFrame, weight: str, *, src: str = "src", dst: str
     links = cut(edges.select(F.col(src).alias("s"), F.col(dst).alias("d"), F.col(weight).cast("double").alias("w")).where("s <> d and w is not null").select(F.least("s", "d").alias("s"), F.greatest("s", "d").alias("d"), "w").groupBy("s", "d").agg(F.min("w").alias("w")))
     tree = links.select(F.col("s").alias("node")).unionByName(links.select(F.col("d").alias("node"))).distinct().withColumn("c", F.col("node"))
     chosen, rounds = links.limit(0), 0
-    while rounds < max_rounds:
+    while max_rounds is None or rounds < max_rounds:
         rounds += 1
         a, b = tree.select(F.col("node").alias("_a"), F.col("c").alias("ca")), tree.select(F.col("node").alias("_b"), F.col("c").alias("cb"))
         between = links.join(a, F.col("s") == F.col("_a")).join(b, F.col("d") == F.col("_b")).where("ca <> cb").select("s", "d", "w", "ca", "cb")
@@ -204,6 +207,6 @@ def spanning_forest(edges: DataFrame, weight: str, *, src: str = "src", dst: str
         if fresh.isEmpty():
             return Fixpoint(chosen.select(F.col("s").alias("src"), F.col("d").alias("dst"), F.col("w").alias("weight")), rounds, True)
         chosen = cut(chosen.unionByName(fresh))
-        joined = components(chosen, src="s", dst="d").rows.select(F.col("node").alias("_n"), "component")
+        joined = components(chosen, src="s", dst="d").whole().select(F.col("node").alias("_n"), "component")
         tree = cut(tree.join(joined, F.col("node") == F.col("_n"), "left").select("node", F.coalesce("component", "c").alias("c")))
     return Fixpoint(chosen.select(F.col("s").alias("src"), F.col("d").alias("dst"), F.col("w").alias("weight")), rounds, False)

@@ -22,26 +22,28 @@ def balance(plan: DataFrame, shard: str, cost: str, shards: int) -> DataFrame:
     return per.agg(F.sum("_c").alias("total"), F.max("_c").alias("largest"), F.greatest(F.max("_m"), F.ceil(F.sum("_c") / shards)).alias("floor"), (F.max("_c") / (F.sum("_c") / shards)).alias("imbalance"))
 
 
-def longest_first(items: DataFrame, item: str, cost: str, shards: int, *, group_items: int = 100_000) -> DataFrame:
+def longest_first(items: DataFrame, item: str, cost: str, shards: int, *, group_items: int = 100_000, hash_seed: int = 0) -> DataFrame:
     """item, shard: the costliest items first, each to the lightest shard; equal costs by item, equal loads by number.
 
-    Large inputs are planned in groups by hash, each over all shards, so no task holds more than a group.
+    The rule is sequential, so it runs in random groups of `group_items` expected items at every size, each over all shards and
+    beginning at a shard of its own, so that the groups' loads add up evenly.
     """
     ship(items.sparkSession)
-    chosen = items.select(F.col(item).cast("string").alias("item"), F.coalesce(F.col(cost), F.lit(0)).cast("double").alias("cost")).where("item is not null")
+    chosen = cut(items.select(F.col(item).cast("string").alias("item"), F.coalesce(F.col(cost), F.lit(0)).cast("double").alias("cost")).where("item is not null"))
     groups = max(1, -(-chosen.count() // group_items))
 
     def plan(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table["cost"].to_pylist(), table["item"].to_pylist(), strict=True), key=lambda r: (-r[0], r[1]))
+        first = table["g"][0].as_py() % shards
         loads = [(0.0, k) for k in range(shards)]
         out = []
         for c, name in rows:
             load, k = heapq.heappop(loads)
-            out.append((name, k))
+            out.append((name, (k + first) % shards))
             heapq.heappush(loads, (load + c, k))
         return pa.table({"item": pa.array([n for n, _ in out], pa.string()), "shard": pa.array([k for _, k in out], pa.int32())})
 
-    return chosen.withColumn("g", F.pmod(F.xxhash64("item"), F.lit(groups))).groupBy("g").applyInArrow(plan, "item string, shard int")
+    return chosen.withColumn("g", F.pmod(F.xxhash64("item", F.lit(hash_seed)), F.lit(groups)).cast("int")).repartition(groups, "g").groupBy("g").applyInArrow(plan, "item string, shard int")
 
 
 def cover_problems(plan: DataFrame, item: str, wanted: DataFrame, wanted_item: str) -> DataFrame:

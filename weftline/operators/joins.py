@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.parse import in_range
+
 
 def valid_at(facts: DataFrame, periods: DataFrame, on: Column, until: Column, as_of: Column) -> DataFrame:
     """`facts` left-joined with the periods that are still open `as_of`. The time is part of the join, so facts without one stay."""
@@ -49,19 +51,35 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, *, n
     return both.withColumn(name, F.last("_v", ignorenulls=True).over(window)).where("_side = 1").drop("_v", "_side")
 
 
-def longest_prefix(df: DataFrame, column: str, prefixes: DataFrame, prefix: str, value: str, default, *, longest: int = 32) -> DataFrame:
+def longest_prefix(df: DataFrame, column: str, prefixes: DataFrame, prefix: str, value: str, default) -> DataFrame:
     """`df` with the value of the longest prefix of `column`, or `default`.
 
-    `prefixes` is a small rule table. Each distinct text is unfolded to its beginnings (at most `longest` characters), which
+    `prefixes` is a small rule table. Each distinct text is unfolded to its beginnings of the lengths that prefixes have, which
     are joined by equality, so neither side is compared with all of the other.
     """
+    lengths = F.broadcast(prefixes.agg(F.array_sort(F.collect_set(F.length(F.col(prefix)))).alias("_lengths")))
     texts = df.select(F.col(column).alias("_t")).where(F.col("_t").isNotNull()).distinct()
-    starts = texts.select("_t", F.explode(F.sequence(F.lit(1), F.least(F.length("_t"), F.lit(longest)))).alias("_n")).where(F.col("_n") > 0)
+    starts = texts.join(lengths).select("_t", F.explode("_lengths").alias("_n")).where((F.col("_n") > 0) & (F.col("_n") <= F.length("_t")))
     starts = starts.withColumn("_p", F.expr("substring(_t, 1, _n)"))
     best = starts.join(prefixes.select(F.col(prefix).alias("_q"), F.col(value).alias("_v")), F.col("_p") == F.col("_q")).groupBy("_t").agg(F.max(F.struct("_n", "_v"))["_v"].alias("_v"))
     return df.join(best, F.col(column) == F.col("_t"), "left").withColumn(value, F.coalesce("_v", F.lit(default))).drop("_t", "_v")
 
 
+def affected_versions(packages: DataFrame, advisories: DataFrame) -> DataFrame:
+    """id, advisory, state: packages (id, name, version) in the range of an advisory (n, spec, advisory).
+
+    Names are equal without regard to case; a package whose whole name no advisory has is looked up by the last part of it. `affected`
+    where the range holds, `inconclusive` where version or range cannot be read; others are left out.
+    """
+    feed = advisories.select(F.lower("n").alias("_n"), "spec", "advisory")
+    whole = F.lower(F.col("name"))
+    named = packages.select("id", "version", whole.alias("_w"), F.regexp_extract(whole, "([^/]*)$", 1).alias("_b"))
+    known = feed.select(F.col("_n").alias("_k")).distinct()
+    keyed = named.join(known, F.col("_w") == F.col("_k"), "left").select("id", "version", F.when(F.col("_k").isNotNull(), F.col("_w")).otherwise(F.col("_b")).alias("_key"))
+    met = keyed.join(feed, F.col("_key") == F.col("_n")).withColumn("_in", in_range(F.col("version"), F.col("spec")))
+    return met.where(F.coalesce("_in", F.lit(True))).select("id", "advisory", F.when(F.col("_in").isNull(), "inconclusive").otherwise("affected").alias("state"))
+
+
 def unique_match(left: DataFrame, left_id: str, left_key: str, right: DataFrame, right_id: str, right_key: str) -> DataFrame:
     """left_id, state, match: `linked` to the only candidate, `ambiguous` with several, `unlinked` with none."""
     names = right.where(F.col(right_key).isNotNull()).groupBy(F.col(right_key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"), F.min(right_id).alias("_m"))

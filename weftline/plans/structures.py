@@ -55,13 +55,13 @@ def _start(spark: SparkSession, *nodes: int) -> DataFrame:
 @query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT CAST(2 AS BIGINT) AS node, 0 AS hops UNION SELECT e.dst, r.hops + 1 FROM r JOIN e ON r.node = e.src WHERE r.hops < 100) SELECT node, CAST(min(hops) AS INTEGER) AS hops FROM r GROUP BY node")
 def graph_reachable(spark: SparkSession, sf: str) -> DataFrame:
     """G-1: breadth-first reachability with the least number of edges."""
-    return G.reachable(_edges(spark, sf), _start(spark, 2)).rows
+    return G.reachable(_edges(spark, sf), _start(spark, 2)).whole()
 
 
 @query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT CAST(4 AS BIGINT) AS node UNION SELECT e.src FROM r JOIN e ON r.node = e.dst) SELECT node FROM r")
 def graph_impact(spark: SparkSession, sf: str) -> DataFrame:
     """G-3: everything that depends on a node."""
-    return G.impacted(_edges(spark, sf), _start(spark, 4)).rows.select("node")
+    return G.impacted(_edges(spark, sf), _start(spark, 4)).whole().select("node")
 
 
 @query(
@@ -70,13 +70,13 @@ def graph_impact(spark: SparkSession, sf: str) -> DataFrame:
 )
 def graph_shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
     """G-2: a shortest path to every reachable node."""
-    return G.shortest_paths(_edges(spark, sf), _start(spark, 2)).rows.select("node", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+    return G.shortest_paths(_edges(spark, sf), _start(spark, 2)).whole().select("node", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
 @query()
 def graph_least_costs(spark: SparkSession, sf: str) -> DataFrame:
     """G-12: least sums of weights; tested against a plain algorithm."""
-    return G.least_costs(_edges(spark, sf), _start(spark, 2), "w").rows
+    return G.least_costs(_edges(spark, sf), _start(spark, 2), "w").whole()
 
 
 @query(
@@ -84,7 +84,7 @@ def graph_least_costs(spark: SparkSession, sf: str) -> DataFrame:
 )
 def graph_components(spark: SparkSession, sf: str) -> DataFrame:
     """Connected components without direction."""
-    return G.components(_edges(spark, sf)).rows
+    return G.components(_edges(spark, sf)).whole()
 
 
 @query(
@@ -135,7 +135,7 @@ def graph_integrity(spark: SparkSession, sf: str) -> DataFrame:
 )
 def graph_grades(spark: SparkSession, sf: str) -> DataFrame:
     """G-11: reachability folded onto rows; unknown stays apart from unreachable."""
-    near = G.reachable(_edges(spark, sf), _start(spark, 2)).rows
+    near = G.reachable(_edges(spark, sf), _start(spark, 2)).whole()
     joined = table(spark, sf, "supplier").join(near, F.col("s_suppkey") == F.col("node"), "left")
     return joined.select(F.col("s_suppkey").alias("supplier"), F.when(F.col("node").isNull(), "no-path").when(F.col("s_suppkey") % 2 == 0, "gated").otherwise("open").alias("grade"), "hops")
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import ipaddress
 import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -17,8 +19,16 @@ from weftline.functions.text import normal_header
 from weftline.session import ship
 
 
-def read_csv(spark: SparkSession, path: str, aliases: dict[str, list[str]], *, separator: str = ",") -> DataFrame:
-    """SRC-1: a CSV whose headers are mapped to names: the first alias that a header equals. Names without one are null columns."""
+def sniff_separator(spark: SparkSession, path: str, among: str = ",;\t|") -> str:
+    """SRC-1: the separator that stands most often, outside of quotes, in the header line; a comma where none does."""
+    first = spark.read.text(path).limit(1).select(F.regexp_replace("value", r"\"[^\"]*\"", "").alias("h")).first()
+    header = first["h"] if first and first["h"] else ""
+    return max(among, key=lambda c: (header.count(c), -among.index(c)))
+
+
+def read_csv(spark: SparkSession, path: str, aliases: dict[str, list[str]], *, separator: str | None = None) -> DataFrame:
+    """SRC-1: a CSV whose headers are mapped to names: the first alias that a header equals. Names without one are null columns. The separator is found out unless given."""
+    separator = separator or sniff_separator(spark, path)
     raw = spark.read.option("header", True).option("sep", separator).option("encoding", "UTF-8").option("mode", "PERMISSIVE").csv(path)
     by_header = {normal_header(c): c for c in reversed(raw.columns)}
     chosen = {name: next((by_header[a] for a in map(normal_header, [name, *wanted]) if a in by_header), None) for name, wanted in aliases.items()}
@@ -55,17 +65,33 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def scan_files(spark: SparkSession, path: str, *, pattern: str = "*", max_bytes: int = 1 << 20, skipped: tuple[str, ...] = (".git", "node_modules", "__pycache__")) -> DataFrame:
-    """SRC-6, SRC-7: path, size, sha256, text of the files of a tree. Folders in `skipped`, larger files and files with a zero byte are left out."""
+def scan_files(spark: SparkSession, path: str, *, pattern: str = "*", max_bytes: int | None = None, skipped: tuple[str, ...] = (".git", "node_modules", "__pycache__")) -> DataFrame:
+    """SRC-6, SRC-7, X-8: path, size, sha256, text, gap of the files of a tree. Folders in `skipped` are left out.
+
+    A file that is not text (it has a zero byte), or is over `max_bytes` where that is set, comes out with a null text and the reason in gap.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    kept = files.where(F.col("length") <= max_bytes)
+    kept = files
     for folder in skipped:
         kept = kept.where(~F.contains(F.col("path"), F.lit(f"/{folder}/")))
-    return kept.where(F.locate("\x00", F.decode("content", "ISO-8859-1")) == 0).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("text"))
+    large = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
+    gap = F.when(large, "too large").when(F.locate("\x00", F.decode("content", "ISO-8859-1")) > 0, "not text")
+    return kept.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.when(gap.isNull(), F.decode("content", "UTF-8")).alias("text"), gap.alias("gap"))
+
 
+def snapshot_digest(files: DataFrame) -> DataFrame:
+    """SRC-7: files, bytes, digest: one digest over paths and contents, whatever their order; in two levels, by the first places of the file digests."""
+    each = files.select(F.sha2(F.concat_ws("|", F.col("path"), F.col("sha256")), 256).alias("h"), "size")
+    ranges = each.groupBy(F.substring("h", 1, 4).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "")
+    return ranges.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("files"), F.coalesce(F.sum("s"), F.lit(0)).alias("bytes"), F.sha2(whole, 256).alias("digest"))
 
-def read_archives(spark: SparkSession, path: str, *, max_member: int = 1 << 20, max_members: int = 100_000) -> DataFrame:
-    """SRC-8: archive, member, size, text of ZIP archives; a member over `max_member` bytes has a null text, an unreadable archive one row without member."""
+
+def read_archives(spark: SparkSession, path: str, *, max_member: int | None = None) -> DataFrame:
+    """SRC-8, X-8: archive, member, size, text, gap of ZIP archives, member by member.
+
+    An unreadable archive or member, and a member over `max_member` bytes where that is set, have a null text and the reason in gap.
+    """
     ship(spark)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,16 +99,26 @@ def read_archives(spark: SparkSession, path: str, *, max_member: int = 1 << 20,
             rows = []
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                        for m in archive.infolist()[:max_members]:
-                            if not m.is_dir():
-                                rows.append((name, m.filename, m.file_size, archive.read(m).decode("utf-8", "replace") if m.file_size <= max_member else None))
+                    archive = zipfile.ZipFile(io.BytesIO(content))
                 except (zipfile.BadZipFile, NotImplementedError, RuntimeError):
-                    rows.append((name, None, None, None))
-            a, m, s, t = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(m, pa.string()), pa.array(s, pa.int64()), pa.array(t, pa.string())], names=["archive", "member", "size", "text"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(unpack, "archive string, member string, size long, text string")
+                    rows.append((name, None, None, None, "unreadable archive"))
+                    continue
+                with archive:
+                    for m in archive.infolist():
+                        if m.is_dir():
+                            continue
+                        text, gap = None, "too large" if max_member is not None and m.file_size > max_member else None
+                        if not gap:
+                            try:
+                                text = archive.read(m).decode("utf-8", "replace")
+                            except (zipfile.BadZipFile, NotImplementedError, RuntimeError, zlib.error, EOFError):
+                                gap = "unreadable member"
+                        rows.append((name, m.filename, m.file_size, text, gap))
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["archive", "member", "size", "text", "gap"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(unpack, "archive string, member string, size long, text string, gap string")
 
 
 def run_sql(spark: SparkSession, statement: str, **values: object) -> DataFrame:
@@ -138,41 +174,103 @@ def lock_edges(files: DataFrame) -> DataFrame:
     return packages.select("path", F.col("at").alias("owner"), name.alias("name"), F.col("p.version").alias("version"), F.coalesce(F.map_keys("p.dependencies"), F.array().cast("array<string>")).alias("wants"))
 
 
+# Name and version of the packages in lock files of other kinds, by file name.
+LOCKS = {
+    "Cargo.lock": r"(?m)^name = \"([^\"]+)\"\r?\nversion = \"([^\"]+)\"",
+    "poetry.lock": r"(?m)^name = \"([^\"]+)\"\r?\nversion = \"([^\"]+)\"",
+    "yarn.lock": r"(?m)^\"?(@?[^@\s\"]+)@[^\n]*:\r?\n\s+version:? \"?([^\"\s]+)",
+    "composer.lock": r"\"name\":\s*\"([^\"]+)\",\s*\"version\":\s*\"v?([^\"]+)\"",
+    "Gemfile.lock": r"(?m)^    ([A-Za-z0-9_.-]+) \(([0-9][^)]*)\)",
+    "packages.lock.json": r"\"([A-Za-z0-9_.-]+)\":\s*\{\s*\"type\":\s*\"[A-Za-z]+\",(?:\s*\"requested\":[^,]*,)?\s*\"resolved\":\s*\"([^\"]+)\"",
+    "gradle.lockfile": r"(?m)^([^:#\s]+:[^:\s]+):([^=\s]+)=",
+}
+
+
+def locked_packages(files: DataFrame) -> DataFrame:
+    """SRC-13: path, lock, name, version of the packages that lock files (path, text) pin; npm's are in lock_edges."""
+    base = F.substring_index("path", "/", -1)
+    found = F.lit(None).cast("array<struct<name:string,version:string>>")
+    for name, pattern in LOCKS.items():
+        pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), 1).alias("name"), F.regexp_extract_all("text", F.lit(pattern), 2).alias("version"))
+        found = F.when(base == name, F.transform(pairs, lambda p: F.struct(p["name"].alias("name"), p["version"].alias("version")))).otherwise(found)
+    return files.select("path", base.alias("lock"), F.explode(found).alias("d")).select("path", "lock", "d.name", "d.version").distinct()
+
+
+def coverage_lines(reports: DataFrame, text: str) -> DataFrame:
+    """SRC-16: path, line, covered out of coverage reports in JSON ({"files": {path: {"executed_lines": [], "missing_lines": []}}})."""
+    schema = "struct<files:map<string,struct<executed_lines:array<int>,missing_lines:array<int>>>>"
+    files = reports.select(F.explode(F.from_json(text, schema)["files"]).alias("path", "f"))
+    one = lambda field, covered: F.transform(F.coalesce(F.col(f"f.{field}"), F.array().cast("array<int>")), lambda x: F.struct(x.alias("line"), F.lit(covered).alias("covered")))
+    return files.select("path", F.explode(F.concat(one("executed_lines", True), one("missing_lines", False))).alias("l")).select("path", "l.line", "l.covered")
+
+
+def trace_spans(lines: DataFrame, line: str) -> DataFrame:
+    """SRC-16: trace, span, parent, name, micros out of spans in JSON lines; lines that are none, or without a trace and a span, are left out."""
+    s = F.from_json(line, "struct<trace_id:string,span_id:string,parent_id:string,name:string,start_us:long,end_us:long>")
+    rows = lines.select(s.alias("s")).where("s.trace_id is not null and s.span_id is not null")
+    return rows.select(F.col("s.trace_id").alias("trace"), F.col("s.span_id").alias("span"), F.col("s.parent_id").alias("parent"), "s.name", (F.col("s.end_us") - F.col("s.start_us")).alias("micros"))
+
+
 def added_lines(log: DataFrame, key: str, position: str, line: str) -> DataFrame:
     """SRC-14: added lines of a log with patches (key, position, line), with commit and file carried down from the headers."""
     from weftline.operators.windows import carry_forward
 
     text = F.col(line)
-    marked = log.withColumns({"_c": F.when(text.rlike("^commit [0-9a-f]{7,}"), F.regexp_extract(text, "^commit ([0-9a-f]+)", 1)), "_f": F.when(text.startswith("+++ b/"), F.substring(text, 7, 4096))})
+    marked = log.withColumns({"_c": F.when(text.rlike("^commit [0-9a-f]{7,}"), F.regexp_extract(text, "^commit ([0-9a-f]+)", 1)), "_f": F.when(text.startswith("+++ b/"), F.expr(f"substring(`{line}`, 7)"))})
     filled = carry_forward(carry_forward(marked, "_c", [key], [position], "commit"), "_f", [key], [position], "file")
-    return filled.where(text.startswith("+") & ~text.startswith("+++")).select(key, position, "commit", "file", F.substring(text, 2, 1 << 20).alias("added"))
+    return filled.where(text.startswith("+") & ~text.startswith("+++")).select(key, position, "commit", "file", F.expr(f"substring(`{line}`, 2)").alias("added"))
+
+
+# Length of the frame header by link type of a capture (Ethernet, loopback, raw IP), and where it says what follows.
+LINK_HEADERS = {1: 14, 0: 4, 12: 0, 101: 0, 228: 0}
+CAPTURE_MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 1e6), b"\xa1\xb2\xc3\xd4": (">", 1e6), b"\x4d\x3c\xb2\xa1": ("<", 1e9), b"\xa1\xb2\x3c\x4d": (">", 1e9)}
+
+
+def _packet(frame: bytes, link: int) -> tuple | None:
+    """src, dst, sport, dport, proto, payload of a frame that holds a whole IPv4 header, else None."""
+    head = LINK_HEADERS.get(link)
+    if head is None or link == 1 and frame[12:14] != b"\x08\x00":
+        return None
+    ip = memoryview(frame)[head:]
+    if len(ip) < 20 or ip[0] >> 4 != 4 or (words := ip[0] & 0x0F) < 5 or len(ip) < 4 * words:
+        return None
+    whole = int.from_bytes(ip[2:4], "big")
+    body = ip[4 * words : max(whole, 4 * words) if whole else len(ip)]
+    ends = [str(ipaddress.IPv4Address(bytes(ip[a : a + 4]))) for a in (12, 16)]
+    ports, skip, proto = (None, None), 0, {6: "tcp", 17: "udp"}.get(ip[9], "other")
+    least = {"tcp": 20, "udp": 8, "other": 0}[proto]
+    if least and len(body) >= least:
+        ports = (int.from_bytes(body[0:2], "big"), int.from_bytes(body[2:4], "big"))
+        skip = 4 * (body[12] >> 4) if proto == "tcp" else least
+    return (*ends, *ports, proto, bytes(body[skip:]) if len(body) >= least else b"")
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-15: ts, src, dst, sport, dport, proto, payload of IPv4 packets in capture files; what cannot be parsed is left out."""
+    """SRC-15: ts, src, dst, sport, dport, proto, payload of the IPv4 packets in capture files.
+
+    Both byte orders, micro- and nanoseconds, and the link types of LINK_HEADERS. A last frame that the file cuts off, frames of other
+    protocols and files that are no captures give no row.
+    """
     ship(spark)
+    names = ["ts", "src", "dst", "sport", "dport", "proto", "payload"]
+    kinds = [pa.float64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.binary()]
+
+    def frames(content: bytes) -> Iterator[tuple]:
+        order, unit = CAPTURE_MAGIC.get(content[:4], (None, 1))
+        if order is None or len(content) < 24:
+            return
+        link = struct.unpack_from(f"{order}I", content, 20)[0] & 0xFFFF
+        record = struct.Struct(f"{order}4I")
+        at = 24
+        while at + record.size <= len(content):
+            seconds, fraction, kept, _ = record.unpack_from(content, at)
+            begin, at = at + record.size, at + record.size + kept
+            if at <= len(content) and (packet := _packet(content[begin:at], link)):
+                yield (seconds + fraction / unit, *packet)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["ts", "src", "dst", "sport", "dport", "proto", "payload"]
-        kinds = [pa.float64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.binary()]
         for batch in batches:
-            rows: list[tuple] = []
-            for content in batch.column(0).to_pylist():
-                if len(content) < 24 or content[:4] not in (b"\xd4\xc3\xb2\xa1", b"\xa1\xb2\xc3\xd4"):
-                    continue
-                order, at = "<" if content[0] == 0xD4 else ">", 24
-                while at + 16 <= len(content):
-                    seconds, micros, size, _ = struct.unpack_from(f"{order}IIII", content, at)
-                    frame, at = content[at + 16 : at + 16 + size], at + 16 + size
-                    if len(frame) < 34 or frame[12:14] != b"\x08\x00":
-                        continue
-                    ip = frame[14:]
-                    head, proto = (ip[0] & 15) * 4, {6: "tcp", 17: "udp"}.get(ip[9], "other")
-                    body = ip[head:]
-                    ports = struct.unpack(">HH", body[:4]) if proto != "other" and len(body) >= 4 else (None, None)
-                    skip = (body[12] >> 4) * 4 if proto == "tcp" and len(body) >= 13 else 8 if proto == "udp" else 0
-                    rows.append((seconds + micros / 1e6, ".".join(map(str, ip[12:16])), ".".join(map(str, ip[16:20])), *ports, proto, body[skip:]))
-            columns = list(zip(*rows, strict=True)) or [()] * 7
+            columns = list(zip(*(row for content in batch.column(0).to_pylist() for row in frames(content)), strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, "ts double, src string, dst string, sport int, dport int, proto string, payload binary")

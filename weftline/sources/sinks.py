@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Components of one document of a bill.
+BILL_ITEMS = 10_000
+
+
 def append(df: DataFrame, path: str) -> None:
     """SNK-1, SNK-2: adds rows to a table; Spark's committer makes a batch visible as a whole."""
     df.write.mode("append").parquet(path)
@@ -14,7 +18,9 @@ def append(df: DataFrame, path: str) -> None:
 def append_new(df: DataFrame, path: str, key: str) -> int:
     """SNK-5, R-2: adds only rows whose key the table lacks, of equal keys in `df` the least row; the number of rows added."""
     spark = df.sparkSession
-    fresh = df.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.min(c).alias(c) for c in df.columns if c != key]).select(*df.columns)
+    others = [c for c in df.columns if c != key]
+    keyed = df.where(F.col(key).isNotNull())
+    fresh = keyed.groupBy(key).agg(*[F.min(c).alias(c) for c in others]).select(*df.columns) if others else keyed.distinct()
     try:
         fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti").select(*df.columns)
     except Exception as error:  # the table does not exist yet
@@ -53,6 +59,20 @@ def to_bill(dependencies: DataFrame, project: str, *, name: str = "name", versio
     return per.select(project, F.to_json(F.struct(F.lit("CycloneDX").alias("bomFormat"), F.lit("1.5").alias("specVersion"), F.lit(1).alias("version"), "components")).alias("bill"))
 
 
+def to_spdx(dependencies: DataFrame, project: str, *, name: str = "name", version: str = "version") -> DataFrame:
+    """SNK-4: project, part, bill: the components of each project as SPDX JSON, at most `BILL_ITEMS` a document, in order."""
+    item = F.struct(F.concat(F.lit("SPDXRef-"), F.col(name), F.lit("-"), F.col(version)).alias("SPDXID"), F.col(name).alias("name"), F.col(version).alias("versionInfo"), F.lit("NOASSERTION").alias("downloadLocation"))
+    placed = dependencies.select(project, name, version).distinct().withColumn("part", F.floor((F.row_number().over(Window.partitionBy(project).orderBy(name, version)) - 1) / BILL_ITEMS))
+    per = placed.groupBy(project, "part").agg(F.array_sort(F.collect_list(item)).alias("packages"))
+    return per.select(project, "part", F.to_json(F.struct(F.lit("SPDX-2.3").alias("spdxVersion"), F.lit("CC0-1.0").alias("dataLicense"), F.lit("SPDXRef-DOCUMENT").alias("SPDXID"), F.col(project).alias("name"), "packages")).alias("bill"))
+
+
+def sarif_summary(reports: DataFrame, sarif: str) -> DataFrame:
+    """SNK-3: tool, level, findings, rules: reports merged (equal findings of several once) and counted."""
+    merged = from_sarif(reports, sarif).select("tool", "rule", "level", "path", "line", "message").distinct()
+    return merged.groupBy("tool", "level").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("rule").alias("rules"))
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A table, or one without rows where there is none yet."""
     try:

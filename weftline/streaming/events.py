@@ -32,8 +32,15 @@ def to_table(stream: DataFrame, mode: str) -> DataFrame:
     """The result of a stream that has run to its end, as a table in the shared folder; `complete` keeps the last state."""
     spark = stream.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/result-{uuid.uuid4().hex}"
-    run_available(stream, lambda df, _: df.write.mode("overwrite" if mode == "complete" else "append").parquet(path), mode)
-    return spark.read.parquet(path)
+    # a folder for each batch: one that is tried again replaces itself, and a complete result is that of the last batch
+    ids: list[int] = []
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        ids.append(batch)
+
+    run_available(stream, write, mode)
+    return spark.read.parquet(f"{path}/batch={max(ids)}" if mode == "complete" else path).drop("batch")
 
 
 def hourly(stream: DataFrame, late: str = "1 hour") -> DataFrame:
