@@ -91,7 +91,7 @@ def test_bigrams_and_entropy_cover_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, doc_kind string, path string").write.parquet(str(tmp_path / "documents.parquet"))
     want = Counter()
     for i, x in texts.items():
-        w = re.findall("[a-z0-9_]+", x.lower())
+        w = re.findall(r"\w+", x.lower())
         want.update((i, f"{a} {b}") for a, b in zip(w, w[1:], strict=False))
     got = {(r.doc_id, r.bigram): r.n for r in catalog.queries()["word_bigram_counts"](spark, str(tmp_path)).collect()}
     assert got == dict(want)

@@ -29,6 +29,17 @@ def key128(column: Column) -> Column:
     return F.unhex(F.md5(column.cast("string")))
 
 
+def packed_key(column: Column) -> Column:
+    """A key as bytes that give it back: digests of 64 hexadecimal places as 32 bytes behind a 1, others as their own bytes behind a 0."""
+    return F.when(column.rlike("^[0-9a-f]{64}$"), F.concat(F.lit(b"\x01"), F.unhex(column))).otherwise(F.concat(F.lit(b"\x00"), F.encode(column, "UTF-8")))
+
+
+def unpacked_key(column: Column) -> Column:
+    """The key that packed_key has made these bytes of."""
+    rest = F.substring(column, 2, 2147483647)
+    return F.when(F.substring(column, 1, 1) == F.lit(b"\x01"), F.lower(F.hex(rest))).otherwise(F.decode(rest, "UTF-8"))
+
+
 def norm_word(column: Column | str) -> Column:
     """Trimmed lower case, null as the empty text: how states and severities are compared."""
     return F.coalesce(F.lower(strip(column)), F.lit(""))

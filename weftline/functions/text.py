@@ -27,8 +27,8 @@ def drop_comments(text: Column) -> Column:
 
 
 def words(text: Column, least: int = 1) -> Column:
-    """Words of letters, digits and underscores in lower case, in order."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_]+"), 0)
+    """Words of letters and digits of any script and underscores, in lower case, in order."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"[\pL\pN_]+"), 0)
     return F.filter(found, lambda w: F.length(w) >= least) if least > 1 else found
 
 

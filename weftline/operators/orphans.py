@@ -1,7 +1,7 @@
 """References to records that do not exist.
 
-A Bloom filter over the parent keys is built with one bitmap aggregation and broadcast. Its size is fixed
-beforehand: `bits_per_key` for each parent row, and never over `max_bits`, whatever the parent holds. A key
+A Bloom filter over the parent keys is built block by block from their distinct hashes and broadcast. Its size is fixed
+beforehand: `bits_per_key` for each distinct key, and never over `max_bits`, whatever the parent holds. A key
 that the filter denies is missing for certain. Only the keys it lets through are joined exactly with what
 the parent says of them (first arrival, whether the last row deletes it); false positives come out there as
 missing too. References are reduced to one row a key before any exchange, so a key that holds a third of all
@@ -21,52 +21,63 @@ from pyspark.sql import types as T
 from weftline.functions.keys import norm_key
 from weftline.session import ship
 
-#: Bits of one block of a filter: what bitmap_or_agg merges.
-BLOCK_BITS = 4096 * 8
+#: Bits of one block of a filter, 4 KiB. A key has all its bits in one block, so each block is made by one task and read alone.
+BLOCK_BITS = 1 << 15
 HASHES = 4
 
 
-def _positions(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """The positions of each hash, one array for each of the filter's hash functions (double hashing)."""
+def _positions(hashes: np.ndarray) -> Iterator[np.ndarray]:
+    """The positions of each hash inside its block, one array for each of the filter's hash functions (double hashing)."""
     low = hashes.view(np.uint64)
-    first = low & np.uint64(0xFFFFFFFF)
-    step = (low >> np.uint64(32)) | np.uint64(1)
+    first = low & np.uint64(BLOCK_BITS - 1)
+    step = (low >> np.uint64(15)) & np.uint64(BLOCK_BITS - 1) | np.uint64(1)
     for i in range(HASHES):
-        yield (first + np.uint64(i) * step) & np.uint64(bits - 1)
+        yield (first + np.uint64(i) * step) & np.uint64(BLOCK_BITS - 1)
+
+
+def _block(hashes: np.ndarray, blocks: int) -> np.ndarray:
+    return ((hashes.view(np.uint64) >> np.uint64(40)) % np.uint64(blocks)).astype(np.int64)
 
 
 class KeyFilter:
-    """A Bloom filter over 64-bit key hashes, held as broadcast bytes."""
+    """A blocked Bloom filter over 64-bit key hashes, held as broadcast bytes."""
 
     def __init__(self, keys: DataFrame, *, bits_per_key: int = 10, max_bits: int = 1 << 27):
-        """`keys`: one column of keys; nulls are left out. Reads `keys` twice: for its size and for its bits."""
+        """`keys`: one column of keys; nulls are left out. Its size follows the number of distinct keys, up to `max_bits`; beyond, more keys go on to the exact join.
+
+        Distinct hashes, eight bytes each, are exchanged by block; every block is then made once, by one task.
+        """
         spark = keys.sparkSession
         ship(spark)
         column = keys.columns[0]
-        wanted = max(BLOCK_BITS, keys.count() * bits_per_key)
-        self.bits = bits = min(max_bits, 1 << (int(wanted) - 1).bit_length())
+        hashes = keys.where(F.col(column).isNotNull()).select(F.xxhash64(column).alias("h"))
+        distinct = hashes.agg(F.approx_count_distinct("h")).first()[0]
+        self.blocks = blocks = max(1, min(max_bits // BLOCK_BITS, -(-distinct * bits_per_key // BLOCK_BITS)))
 
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = np.zeros(bits, dtype=np.bool_)
+            held: dict[int, np.ndarray] = {}
             for batch in batches:
-                hashes = batch.column(0).to_numpy(zero_copy_only=False)
-                for positions in _positions(hashes, bits):
-                    held[positions] = True
-            packed = np.packbits(held, bitorder="little").reshape(-1, BLOCK_BITS // 8)
-            used = np.flatnonzero(packed.any(axis=1))
-            for part in np.array_split(used, max(1, len(used) // 64)):
-                if len(part):
-                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([packed[i].tobytes() for i in part], pa.binary())], names=["block", "part"])
-
-        parts = keys.where(F.col(column).isNotNull()).select(F.xxhash64(column).alias("h")).mapInArrow(mark, "block long, part binary")
-        whole = bytearray(bits // 8)
-        for row in parts.groupBy("block").agg(F.expr("bitmap_or_agg(part)").alias("part")).toLocalIterator():
+                own = batch.column(0).to_numpy(zero_copy_only=False)
+                of = _block(own, blocks)
+                order = np.argsort(of, kind="stable")
+                own, of = own[order], of[order]
+                for part in np.split(np.arange(len(own)), np.flatnonzero(np.diff(of)) + 1):
+                    if len(part):
+                        bits = held.setdefault(int(of[part[0]]), np.zeros(BLOCK_BITS, dtype=np.bool_))
+                        for positions in _positions(own[part]):
+                            bits[positions] = True
+            for block, bits in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["block", "part"])
+
+        place = F.pmod(F.shiftrightunsigned("h", 40), F.lit(blocks))
+        whole = bytearray(blocks * BLOCK_BITS // 8)
+        for row in hashes.groupBy("h").agg(F.lit(1)).select("h").repartition(min(blocks, 512), place).mapInArrow(mark, "block long, part binary").toLocalIterator():
             whole[row["block"] * BLOCK_BITS // 8 : (row["block"] + 1) * BLOCK_BITS // 8] = row["part"]
         self._shared = spark.sparkContext.broadcast(bytes(whole))
 
     def may_contain(self, column: Column) -> Column:
         """False only where `column` is certainly no key of the filter."""
-        shared, bits = self._shared, self.bits
+        shared, blocks = self._shared, self.blocks
 
         @F.pandas_udf(T.BooleanType())
         def probe(hashes):
@@ -74,9 +85,10 @@ class KeyFilter:
 
             own = np.frombuffer(shared.value, dtype=np.uint8)
             values = hashes.to_numpy(dtype=np.int64)
+            begin = _block(values, blocks) * (BLOCK_BITS // 8)
             found = np.ones(len(values), dtype=bool)
-            for positions in _positions(values, bits):
-                found &= (own[positions >> np.uint64(3)] >> (positions & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+            for positions in _positions(values):
+                found &= (own[begin + (positions >> np.uint64(3)).astype(np.int64)] >> (positions & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
             return pd.Series(found)
 
         # not deterministic to the planner, which would otherwise ask for every row below the reduction to keys

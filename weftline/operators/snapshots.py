@@ -59,7 +59,9 @@ def snapshot_changes(records: DataFrame, snapshots: DataFrame, *, chunk_rows: in
     per_series = with_rows.groupBy("_series").agg(F.sum("_rows").alias("_total")).select(F.col("_series").alias("_key"), F.greatest(F.lit(1), F.ceil(F.coalesce("_total", F.lit(0)) / slice_rows)).cast("int").alias("_slices"))
     listed = listed.join(per_series, F.col("_series") == F.col("_key")).drop("_key")
 
-    bounded = snapshots.count() * 120 <= broadcast_bytes
+    # what a row of the list takes: its own texts, and numbers and overhead
+    size = snapshots.agg(F.sum(F.octet_length(F.col("snapshot").cast("string")) + F.octet_length(F.col("series").cast("string")) + 96)).first()[0] or 0
+    bounded = size <= broadcast_bytes
     side = listed.withColumnRenamed("_series", "series")
     rows = (
         records.join(F.broadcast(side) if bounded else side, F.col("snapshot") == F.col("_snap"))

@@ -87,7 +87,7 @@ def text_entropy(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     r"""SELECT doc_id, CAST(len(list_filter(w, lambda x: length(x) >= 3)) AS INTEGER) AS words, CAST(len(list_distinct(list_filter(w, lambda x: length(x) >= 3))) AS INTEGER) AS distinct_words, CASE WHEN text = '' THEN 0 ELSE CAST(len(string_split(regexp_replace(text, '\n$', ''), chr(10))) AS INTEGER) END AS lines
-    FROM (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM documents WHERE text IS NOT NULL)"""
+    FROM (SELECT doc_id, text, regexp_extract_all(lower(text), '[\pL\pN_]+') AS w FROM documents WHERE text IS NOT NULL)"""
 )
 def word_counts(spark: SparkSession, sf: str) -> DataFrame:
     """S-7, S-13, S-31, P-6: words, distinct words and lines of each text."""
@@ -96,7 +96,7 @@ def word_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH w AS (SELECT record_id AS id, unnest(regexp_extract_all(lower(description), '[a-z0-9_]+')) AS word FROM code_findings), n AS (SELECT id, word, count(*) AS n FROM w GROUP BY ALL), l AS (SELECT id, sum(n) AS len FROM n GROUP BY id),
+    """WITH w AS (SELECT record_id AS id, unnest(regexp_extract_all(lower(description), '[\\pL\\pN_]+')) AS word FROM code_findings), n AS (SELECT id, word, count(*) AS n FROM w GROUP BY ALL), l AS (SELECT id, sum(n) AS len FROM n GROUP BY id),
     d AS (SELECT word, count(*) AS df FROM n GROUP BY word), t AS (SELECT count(*) AS total FROM code_findings)
     SELECT n.id AS record_id, n.word, round(n / len * (ln((total + 1) / (df + 1)) + 1), 6) AS weight FROM n JOIN l ON n.id = l.id JOIN d ON n.word = d.word, t"""
 )
@@ -111,8 +111,8 @@ _PAT_SQL = ", ".join(f"('{a}', '{b}')" for a, b in _PATTERNS)
 
 
 @query(
-    f"""WITH w AS (SELECT record_id AS id, unnest(regexp_extract_all(lower(description), '[a-z0-9_]+')) AS word FROM code_findings), n AS (SELECT id, word, count(*) AS n FROM w GROUP BY ALL), l AS (SELECT id, sqrt(sum(n * n)) AS len FROM n GROUP BY id),
-    pw AS (SELECT p, unnest(regexp_extract_all(lower(t), '[a-z0-9_]+')) AS word FROM (VALUES {_PAT_SQL}) AS v(p, t)), pn AS (SELECT p, word, count(*) AS n FROM pw GROUP BY ALL), pl AS (SELECT p, sqrt(sum(n * n)) AS len FROM pn GROUP BY p)
+    f"""WITH w AS (SELECT record_id AS id, unnest(regexp_extract_all(lower(description), '[\\pL\\pN_]+')) AS word FROM code_findings), n AS (SELECT id, word, count(*) AS n FROM w GROUP BY ALL), l AS (SELECT id, sqrt(sum(n * n)) AS len FROM n GROUP BY id),
+    pw AS (SELECT p, unnest(regexp_extract_all(lower(t), '[\\pL\\pN_]+')) AS word FROM (VALUES {_PAT_SQL}) AS v(p, t)), pn AS (SELECT p, word, count(*) AS n FROM pw GROUP BY ALL), pl AS (SELECT p, sqrt(sum(n * n)) AS len FROM pn GROUP BY p)
     SELECT record_id, pattern, score FROM (SELECT n.id AS record_id, pn.p AS pattern, round(sum(n.n * pn.n) / any_value(l.len) / any_value(pl.len), 4) AS score, row_number() OVER (PARTITION BY n.id ORDER BY round(sum(n.n * pn.n) / any_value(l.len) / any_value(pl.len), 4) DESC, pn.p) AS k
       FROM n JOIN pn ON n.word = pn.word JOIN l ON n.id = l.id JOIN pl ON pn.p = pl.p GROUP BY n.id, pn.p) WHERE score >= 0.35 AND k <= 3"""
 )
@@ -213,11 +213,11 @@ def finding_prompts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT record_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '/\*[\s\S]*?\*/', ' ', 'g'), '(//|#)[^\n]*', '', 'g'), '\s+', ' ', 'g')) AS code FROM (SELECT record_id, code AS text FROM code_findings WHERE kind = 'AIFinding' AND code IS NOT NULL)"""
+    r"""SELECT record_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '/\*[\s\S]*?\*/', ' ', 'g'), '(//|#)[^\n]*', '', 'g'), '\s+', ' ', 'g')) AS code FROM (SELECT record_id, code AS text FROM code_findings WHERE code IS NOT NULL UNION ALL SELECT record_id, source_snippet FROM code_findings WHERE code IS NULL AND source_snippet IS NOT NULL)"""
 )
 def comment_free_code(spark: SparkSession, sf: str) -> DataFrame:
     """S-8, T-6, T-7: code without comments and with single blanks."""
-    rows = table(spark, sf, "code_findings").where("kind = 'AIFinding' and code is not null")
+    rows = table(spark, sf, "code_findings").select("record_id", F.coalesce("code", "source_snippet").alias("code")).where("code is not null")
     return rows.select("record_id", T.collapse(T.drop_comments(F.col("code"))).alias("code"))
 
 
@@ -288,7 +288,7 @@ def tagged_union(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     r"""WITH s AS (SELECT doc_id, unnest(string_split(text, '. ')) AS p, unnest(range(0, len(string_split(text, '. ')))) AS i FROM documents WHERE text IS NOT NULL),
-    q AS (SELECT doc_id, i, p, CAST(10 * len(list_intersect(list_distinct(regexp_extract_all(lower(p), '[a-z0-9_]+')), ['buffer', 'length', 'copy', 'check'])) - i // 20 AS INTEGER) AS score FROM s WHERE length(p) BETWEEN 35 AND 600)
+    q AS (SELECT doc_id, i, p, CAST(10 * len(list_intersect(list_distinct(regexp_extract_all(lower(p), '[\pL\pN_]+')), ['buffer', 'length', 'copy', 'check'])) - i // 20 AS INTEGER) AS score FROM s WHERE length(p) BETWEEN 35 AND 600)
     SELECT doc_id, i AS position, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS k FROM q WHERE score > 0) WHERE k = 1"""
 )
 def best_passages(spark: SparkSession, sf: str) -> DataFrame:
@@ -300,7 +300,7 @@ def best_passages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT doc_id, array_to_string(list_slice(g, 1, 3), '|') AS bigrams, CAST(len(g) AS INTEGER) AS n FROM (SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END AS g FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM documents WHERE text IS NOT NULL))"""
+    r"""SELECT doc_id, array_to_string(list_slice(g, 1, 3), '|') AS bigrams, CAST(len(g) AS INTEGER) AS n FROM (SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END AS g FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\pL\pN_]+') AS w FROM documents WHERE text IS NOT NULL))"""
 )
 def word_bigrams(spark: SparkSession, sf: str) -> DataFrame:
     """W-14: the first three pairs of neighbouring words, and how many there are, as the SQL shows them."""
@@ -316,7 +316,7 @@ def word_bigram_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH w AS (SELECT record_id AS id, unnest(regexp_extract_all(lower(description), '[a-z0-9_]+')) AS word FROM code_findings), h AS (SELECT id, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % 1024 AS idx, count(*) AS n FROM w GROUP BY ALL), t AS (SELECT id, sum(n) AS t FROM h GROUP BY id)
+    """WITH w AS (SELECT record_id AS id, unnest(regexp_extract_all(lower(description), '[\\pL\\pN_]+')) AS word FROM code_findings), h AS (SELECT id, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % 1024 AS idx, count(*) AS n FROM w GROUP BY ALL), t AS (SELECT id, sum(n) AS t FROM h GROUP BY id)
     SELECT h.id AS record_id, idx, CAST(n * 10000 // t AS BIGINT) AS value FROM h JOIN t ON h.id = t.id"""
 )
 def hashed_features(spark: SparkSession, sf: str) -> DataFrame:

@@ -137,13 +137,13 @@ def weighted_votes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT DISTINCT cwe FROM code_findings WHERE cwe IS NOT NULL), s AS (SELECT cwe, min(CASE upper(trim(severity)) WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 WHEN 'INFO' THEN 4 ELSE 5 END) AS r, count(*) AS n FROM code_findings WHERE kind = 'AIFinding' GROUP BY cwe)
+    """WITH d AS (SELECT DISTINCT cwe FROM code_findings WHERE cwe IS NOT NULL), s AS (SELECT cwe, min(CASE upper(trim(severity)) WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 WHEN 'INFO' THEN 4 ELSE 5 END) AS r, count(*) AS n FROM code_findings GROUP BY cwe)
     SELECT d.cwe, CAST(coalesce(r, 5) AS INTEGER) AS worst, coalesce(n, 0) AS findings FROM d LEFT JOIN s ON d.cwe = s.cwe"""
 )
 def worst_per_category(spark: SparkSession, sf: str) -> DataFrame:
     """A-17, J-17: worst severity of every category, those without findings included."""
     rows = table(spark, sf, "code_findings").select("cwe", "kind", F.upper(F.trim("severity")).alias("sev"))
-    per = rows.where("kind = 'AIFinding'").groupBy(F.col("cwe").alias("c")).agg(F.min(rank_of("sev")).alias("r"), F.count(F.lit(1)).alias("n"))
+    per = rows.groupBy(F.col("cwe").alias("c")).agg(F.min(rank_of("sev")).alias("r"), F.count(F.lit(1)).alias("n"))
     return rows.where("cwe is not null").select("cwe").distinct().join(per, F.col("cwe") == F.col("c"), "left").select("cwe", F.coalesce("r", F.lit(5)).alias("worst"), F.coalesce("n", F.lit(0).cast("long")).alias("findings"))
 
 

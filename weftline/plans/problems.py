@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions.keys import WHITE, key128, norm_key, norm_word
+from weftline.functions.keys import WHITE, key128, norm_key, norm_word, packed_key, unpacked_key
 from weftline.operators.hierarchy import build_hierarchy, descendants
 from weftline.operators.orphans import KeyFilter, find_orphans, orphan_counts, parent_keys
 from weftline.operators.snapshots import number_in_series, snapshot_changes
@@ -61,10 +61,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     snapshots = number_in_series(complete, "series", ["created_at", "snapshot"], F.date_trunc("month", "created_at"))
     records = (
         table(spark, sf_dir, "findings")
-        .select(norm_key("run_id").alias("snapshot"), norm_key("fingerprint").alias("key"), norm_word("severity").alias("value"), F.struct("ingested_at", "row_id").alias("version"))
+        .select(norm_key("run_id").alias("snapshot"), packed_key(norm_key("fingerprint")).alias("key"), norm_word("severity").alias("value"), F.struct("ingested_at", "row_id").alias("version"))
         .where(F.col("snapshot").isNotNull() & F.col("key").isNotNull())
     )
-    return snapshot_changes(records, snapshots.drop("created_at")).select(F.col("snapshot").alias("run_id"), F.col("key").alias("fingerprint"), "change_kind")
+    return snapshot_changes(records, snapshots.drop("created_at")).select(F.col("snapshot").alias("run_id"), unpacked_key(F.col("key")).alias("fingerprint"), "change_kind")
 
 
 def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -198,7 +198,7 @@ def hit_contexts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH w AS (SELECT record_id, list_filter(regexp_extract_all(lower(description), '[a-z0-9_]+'), lambda x: true) AS w FROM code_findings WHERE description IS NOT NULL)
+    """WITH w AS (SELECT record_id, list_filter(regexp_extract_all(lower(description), '[\\pL\\pN_]+'), lambda x: true) AS w FROM code_findings WHERE description IS NOT NULL)
     SELECT record_id, CAST(greatest(0, len(w) - 1) AS INTEGER) AS pairs, CAST(greatest(0, len(w) - 2) AS INTEGER) AS triples, CAST(len(list_distinct(list_transform(range(1, greatest(1, len(w) - 3)), lambda i: array_to_string(list_sort(w[i : i + 4]), ' ')))) AS INTEGER) AS sets FROM w"""
 )
 def ngram_sets(spark: SparkSession, sf: str) -> DataFrame:
@@ -272,7 +272,7 @@ def query_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH w AS (SELECT record_id, regexp_extract_all(lower(description), '[a-z0-9_]+') AS w FROM code_findings WHERE description IS NOT NULL), g AS (SELECT record_id, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, greatest(1, len(w) - 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w),
+    """WITH w AS (SELECT record_id, regexp_extract_all(lower(description), '[\\pL\\pN_]+') AS w FROM code_findings WHERE description IS NOT NULL), g AS (SELECT record_id, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, greatest(1, len(w) - 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w),
     b AS (SELECT record_id, CAST('0x' || left(md5(x), 7) AS BIGINT) % 512 AS bucket FROM (SELECT record_id, unnest(g) AS x FROM g)), n AS (SELECT record_id, bucket, count(*) AS n FROM b GROUP BY ALL), t AS (SELECT record_id, sum(n) AS t FROM n GROUP BY record_id)
     SELECT n.record_id, bucket, CAST(floor(n * 10000 / t) AS BIGINT) AS weight FROM n JOIN t ON n.record_id = t.record_id"""
 )
@@ -462,8 +462,8 @@ def claimed_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_CODE}, w AS (SELECT record_id AS id, unnest(regexp_extract_all(lower(description), '[a-z0-9_]+')) AS word FROM code_findings), n AS (SELECT id, word, count(*) AS n FROM w GROUP BY ALL), t AS (SELECT count(*) AS t FROM code_findings), i AS (SELECT word, ln((t + 1) / (count(*) + 1)) + 1 AS idf FROM n, t GROUP BY word, t),
-    v AS (SELECT id, n.word, n * idf AS x FROM n JOIN i ON n.word = i.word), p0 AS (SELECT p, unnest(regexp_extract_all(s, '[a-z0-9_]+')) AS word FROM (VALUES ('p1', 'request forgery reaches the remote address'), ('p2', 'value may exceed the buffer'), ('p3', 'step runs with wide scope')) q(p, s)), pn AS (SELECT p, word, count(*) AS n FROM p0 GROUP BY ALL), pv AS (SELECT p, pn.word, n * coalesce(idf, 1) AS x FROM pn LEFT JOIN i ON pn.word = i.word),
+    f"""WITH {_CODE}, w AS (SELECT record_id AS id, unnest(regexp_extract_all(lower(description), '[\\pL\\pN_]+')) AS word FROM code_findings), n AS (SELECT id, word, count(*) AS n FROM w GROUP BY ALL), t AS (SELECT count(*) AS t FROM code_findings), i AS (SELECT word, ln((t + 1) / (count(*) + 1)) + 1 AS idf FROM n, t GROUP BY word, t),
+    v AS (SELECT id, n.word, n * idf AS x FROM n JOIN i ON n.word = i.word), p0 AS (SELECT p, unnest(regexp_extract_all(s, '[\\pL\\pN_]+')) AS word FROM (VALUES ('p1', 'request forgery reaches the remote address'), ('p2', 'value may exceed the buffer'), ('p3', 'step runs with wide scope')) q(p, s)), pn AS (SELECT p, word, count(*) AS n FROM p0 GROUP BY ALL), pv AS (SELECT p, pn.word, n * coalesce(idf, 1) AS x FROM pn LEFT JOIN i ON pn.word = i.word),
     lv AS (SELECT id, sqrt(sum(x * x)) AS l FROM v GROUP BY id), lp AS (SELECT p, sqrt(sum(x * x)) AS l FROM pv GROUP BY p)
     SELECT v.id AS record_id, pv.p AS pattern, round(sum(v.x * pv.x) / any_value(lv.l) / any_value(lp.l), 4) AS score FROM v JOIN pv ON v.word = pv.word JOIN lv ON v.id = lv.id JOIN lp ON pv.p = lp.p GROUP BY v.id, pv.p HAVING round(sum(v.x * pv.x) / any_value(lv.l) / any_value(lp.l), 4) >= 0.35"""
 )

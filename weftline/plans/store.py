@@ -149,13 +149,14 @@ def contradictions(spark: SparkSession, sf: str) -> DataFrame:
     return findings(spark, sf).where("run is not null and fp is not null").groupBy("run", "fp").agg(F.countDistinct("sev").alias("severities")).where("severities > 1")
 
 
-@query(f"SELECT run_id, reported, derived, CASE WHEN reported IS NULL THEN 'unknown' WHEN reported = derived THEN 'observed' ELSE 'refuted' END AS verdict FROM (SELECT {k('run_id')} AS run_id, max(findings) AS reported FROM runs GROUP BY 1) r JOIN (SELECT {k('run_id')} AS run, count(DISTINCT {k('fingerprint')}) AS derived FROM findings GROUP BY 1) f ON r.run_id = f.run")
+@query(f"SELECT run_id, reported, coalesce(derived, 0) AS derived, CASE WHEN reported IS NULL THEN 'unknown' WHEN reported = coalesce(derived, 0) THEN 'observed' ELSE 'refuted' END AS verdict FROM (SELECT {k('run_id')} AS run_id, max(findings) AS reported FROM runs GROUP BY 1) r LEFT JOIN (SELECT {k('run_id')} AS run, count(DISTINCT {k('fingerprint')}) AS derived FROM findings GROUP BY 1) f ON r.run_id = f.run WHERE run_id IS NOT NULL")
 def reported_totals(spark: SparkSession, sf: str) -> DataFrame:
     """A-29: totals that runs report against those derived from their rows."""
     derived = findings(spark, sf).groupBy("run").agg(F.countDistinct("fp").alias("derived"))
     runs = table(spark, sf, "runs").groupBy(norm_key("run_id").alias("run_id")).agg(F.max("findings").alias("reported"))
     verdict = F.when(F.col("reported").isNull(), "unknown").when(F.col("reported") == F.col("derived"), "observed").otherwise("refuted")
-    return runs.join(derived, F.col("run_id") == F.col("run")).select("run_id", "reported", "derived", verdict.alias("verdict"))
+    both = runs.join(derived, F.col("run_id") == F.col("run"), "left").withColumn("derived", F.coalesce("derived", F.lit(0)))
+    return both.where("run_id is not null").select("run_id", "reported", "derived", verdict.alias("verdict"))
 
 
 @query("SELECT difficulty, expected_rule, count(*) AS examples, round(100.0 * sum(detected) / count(*), 2) AS detected_pct FROM examples GROUP BY difficulty, expected_rule")

@@ -345,10 +345,10 @@ def stream_click_join(spark: SparkSession, sf: str) -> DataFrame:
     return S.to_table(S.clicks_before_purchases(S.read_events(spark, sf)), "append")
 
 
-@query("SELECT rule_id AS rule, path, CAST(line AS INTEGER) AS line, CASE WHEN upper(trim(severity)) IN ('CRITICAL', 'HIGH') THEN 'error' WHEN upper(trim(severity)) = 'MEDIUM' THEN 'warning' ELSE 'note' END AS level FROM code_findings WHERE kind = 'CIFinding' AND rule_id IS NOT NULL AND path IS NOT NULL AND line IS NOT NULL")
+@query("SELECT rule_id AS rule, path, CAST(line AS INTEGER) AS line, CASE WHEN upper(trim(severity)) IN ('CRITICAL', 'HIGH') THEN 'error' WHEN upper(trim(severity)) = 'MEDIUM' THEN 'warning' ELSE 'note' END AS level FROM code_findings WHERE rule_id IS NOT NULL AND path IS NOT NULL AND line IS NOT NULL")
 def sarif_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """SNK-3: findings to reports and back."""
-    rows = table(spark, sf, "code_findings").where("kind = 'CIFinding' and rule_id is not null and path is not null and line is not null")
+    rows = table(spark, sf, "code_findings").where("rule_id is not null and path is not null and line is not null")
     rows = rows.select(F.col("category").alias("run"), F.col("rule_id").alias("rule"), "path", "line", F.upper(F.trim("severity")).alias("sev"), F.col("description").alias("message"))
     return from_sarif(to_sarif(rows, "weftline"), "sarif").select("rule", "path", "line", "level")
 
@@ -370,5 +370,5 @@ def table_profile(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def sql_scan(spark: SparkSession, sf: str) -> DataFrame:
     """SRC-11: statements in SQL texts by what they do."""
-    blobs = table(spark, sf, "blobs").where(F.upper("payload").startswith("SELECT")).select("row_id", "payload")
+    blobs = table(spark, sf, "blobs").where("payload is not null").select("row_id", "payload")
     return sql_statements(blobs, "row_id", "payload")

@@ -132,11 +132,15 @@ def schema_profile(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "table string, position int, column string, type string, nullable boolean")
 
 
+# What SQL statements begin with; other texts are none.
+SQL_VERBS = "SELECT WITH INSERT UPDATE DELETE MERGE REPLACE CREATE ALTER DROP TRUNCATE GRANT REVOKE BEGIN COMMIT ROLLBACK PRAGMA EXPLAIN VALUES CALL SET".split()
+
+
 def sql_statements(texts: DataFrame, row: str, text: str) -> DataFrame:
     """SRC-11: row, position, verb, kind of the statements of SQL texts. Comments and the insides of literals split nothing."""
     bare = F.regexp_replace(F.col(text), r"(?s)/\*.*?\*/|--[^\n]*", " ")
     bare = F.regexp_replace(bare, r"'(?:[^']|'')*'", "''")
-    parts = texts.select(row, F.posexplode(F.split(bare, ";")).alias("position", "_s")).withColumn("verb", F.upper(F.regexp_extract(F.trim("_s"), r"^\s*([A-Za-z]+)", 1))).where("verb <> ''")
+    parts = texts.select(row, F.posexplode(F.split(bare, ";")).alias("position", "_s")).withColumn("verb", F.upper(F.regexp_extract(F.trim("_s"), r"^\s*([A-Za-z]+)", 1))).where(F.col("verb").isin(*SQL_VERBS))
     kind = F.when(F.col("verb").isin("DROP", "TRUNCATE"), "destructive").when((F.col("verb") == "DELETE") & ~F.upper("_s").contains("WHERE"), "destructive").when(F.col("verb").isin("GRANT", "REVOKE"), "privileged")
     kind = kind.when(F.col("verb").isin("INSERT", "UPDATE", "DELETE", "MERGE", "CREATE", "ALTER", "REPLACE"), "write").otherwise("read")
     return parts.select(row, "position", "verb", kind.alias("kind"))
