@@ -120,6 +120,8 @@ EMAIL = re.compile(
     r"(?<![\w.+\-/@])(?P<local>[A-Za-z0-9À-ÿ](?:[\w.+'\-]{0,62}[\w+])?)(?P<at>\s?[\[({<]\s?(?:at|AT|At|@|ät|arroba|chez|bei)\s?[\])}>]\s?|@|＠|&#64;|&#x40;|&commat;|%40|\s(?:at|AT)\s(?=[\w-]+(?:\s(?:dot|DOT)\s|\s?[\[({<]\s?(?:dot|DOT)))|\s@\s(?=\w))"
     r"(?P<domain>[A-Za-z0-9À-ÿ](?:[\w-]{0,62})(?:(?:\.|\s?[\[({<]\s?(?:dot|DOT|punkt|punto|ponto|point|\.)\s?[\])}>]\s?|\s(?:dot|DOT)\s)[A-Za-z0-9À-ÿ][\w-]{0,62})*(?:\.|\s?[\[({<]\s?(?:dot|DOT|punkt|punto|ponto|point|\.)\s?[\])}>]\s?|\s(?:dot|DOT)\s)[A-Za-zÀ-ÿ]{2,24})(?![\w@-])"
 )
+AT = re.compile("@")
+MAIL_WORDS = ("＠", "&#", "&commat", "%40", " at ", "[at", "(at", "{at", "<at", "[ at", "( at", "{ at", "< at", "ät", "arroba", "chez", "bei")
 MAIL_GATE = re.compile(r"＠|&#|&commat|%40|[\[({<] ?(?:at|AT|At|ät|arroba|chez|bei) ?[\])}>]| (?:at|AT) \S+ ?[\[({<]? ?(?:dot|DOT)")
 NOT_MAILBOX_BEFORE = re.compile(r"(?:://[^\s@/]*|\b(?:ssh|scp|sftp|rsync|git clone|svn\+ssh|mosh|ssh-copy-id|psql|ftp|telnet|rlogin|su|login as)\s(?:-\w+\s\S*\s?|\S+\s)*)$")
 
@@ -151,7 +153,7 @@ ID_STRONG = (
 NOT_ADDRESS_BEFORE = re.compile(r"(?i)(?:section|chapter|page|item|line|rule|step|table|figure|version|release|build)\s$")
 NOT_ID_BEFORE = re.compile(r"(?i)(?<![^\W\d_])(?:order|epoch|build|checksum|offset|serial(?: no)?|part(?: no)?|size|isbn[\w -]*|range|run|pid|tid|version|commit|hash|sha\d*|id=|ms|bytes|seq|timestamp|ts|nonce|port|amount|trace|request|job|ticket)\W{0,3}$")
 ID_WORDS = r"(?:passports?|passport no\.?|reisepass\w*|passeport|pasaporte|passaporte|id[- ]card|ausweis\w*|identity (?:number|card)|carte d'identité|ssn|social security|national insurance|tax (?:id|number|no)|steuer-?(?:id|nummer)|identifikationsnummer|dni|nie|nif|nie|cpf|rg|bsn|pesel|codice fiscale|tin|ein|national id|nino|sécurité sociale|segurança social|seguridad social|contribuinte|personalausweis\w*)"
-ID_WORD = re.compile(r"(?i)pass[aep]|ident|ausweis|card|\bssn|soci|security|national|\btax|steuer|\b(?:dni|nie|nif|cpf|rg|bsn|pesel|tin|ein|nino)\b|codice|contrib")
+ID_HINTS = ("pass", "ident", "ausweis", "card", "ssn", "soci", "secur", "ségur", "segur", "national", "tax", "steuer", "dni", "nie", "nif", "cpf", "rg", "bsn", "pesel", "tin", "ein", "nino", "codice", "contrib")
 ID_BY_WORD = re.compile(rf"(?i)\b{ID_WORDS}\b[^\w\n]{{0,4}}(?:(?:no|nr|number|num|n\.º|nº|n°|is|ist|est|es|é|on the form|of|:)[^\w\n]{{0,4}}){{0,3}}(?P<n>(?-i:[A-Z]{{0,3}}){D}?\d(?:[\d.\-/ ]{{3,18}}\d|\d{{4,16}})(?:{D}?(?-i:[A-Z]))?)(?![\w])")
 
 TYPE_WORDS = "Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Place|Pl|Square|Sq|Terrace|Ter|Way|Close|Cl|Crescent|Cres|Gardens|Gdns|Row|Rise|Quay|Walk|Hill|Grove|Mews|Parade|Park|View|Yard|Wharf|Green|Alley|Circle|Cir|Trail|Trl|Highway|Hwy|Parkway|Pkwy|Path|Gate|Heights|Ridge|Loop|Turnpike|Esplanade|Vale|Meadow|Meadows"
@@ -177,8 +179,9 @@ TOWN = re.compile(rf"(?:[ \u00a0]?[,;]|[ \u00a0][-–])[ \u00a0]?(?:(?:\d+[ \u00
 
 BLANK = re.compile(r"\s")
 # Places that these do not meet have no name, number or address, and are not looked at further.
+OF = rf"(?:{PARTICLE}{GAP}(?:{PARTICLE}{GAP})?)?"
 OTHER_LETTERS = re.compile(r"[\u0590-\u06ff\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7a3]{2}")
-NAME_GATE = re.compile(rf"[\u0590-\u06ff\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7a3]{{2}}|(?:[{U}][{L}'’]*\.?|[{U}'’-]{{2,}}|[{L}]),?{GAP}?{GAP}(?:[{U}][{L}'’]|[{U}]\.|[{U}]['’]?[{U}]{{2,}}(?![\w-]*\d))")
+NAME_GATE = re.compile(rf"[{U}][\w'’.-]*(?:,?{GAP}{{1,2}}|(?<=\.)){OF}[{U}]")
 NUMBER_GATE = re.compile(r"\d(?:[^\w\n]{0,3}\d|[A-D]\b){5,}")
 ADDRESS_GATE = re.compile(rf"\d[\w-]{{0,8}},?[ \u00a0](?:[{U}\d]|bis|ter|rue|av|bou|bd|bl|pl|ch|im|al|qu|co|ro|rt|sq|pa|ru|se|fa|es|mo|cô|vo|vi|ci|ré)|[{U}][\w'’.-]*,?[ \u00a0](?:n\S{{1,3}}[ \u00a0]?)?\d")
 
@@ -310,7 +313,7 @@ def _key(word: str) -> str:
     return unicodedata.normalize("NFC", word).lower()
 
 
-def _names(text: str, taken: Spans, line: int, end: int, start: int, stop: int, words: Words, scan: Scan, mailboxes: set[str], other_script: bool) -> None:
+def _names(text: str, taken: Spans, line: int, end: int, start: int, stop: int, words: Words, scan: Scan, mailboxes: set[str]) -> None:
     """Names from `start` to `stop` of the line from `line` to `end`."""
     found: list[Item] = []
 
@@ -388,9 +391,6 @@ def _names(text: str, taken: Spans, line: int, end: int, start: int, stop: int,
         until = m.start("last") + len(last)
         if _weigh(text, m.start(), until, given, last.split(" ")[-1], line, end, taken, words, scan, mailboxes):
             at = until
-    if other_script:
-        for m in OTHER_SCRIPT.finditer(text, start, stop):
-            add(*m.span(m.lastgroup))
     found.sort(key=lambda i: (i.start, -i.end))
     out: list[Item] = []
     for item in found:
@@ -471,8 +471,11 @@ def scan_text(text: str | None, words: Words = Words()) -> Scan:
         scan.items.append(Item(a, b, kind))
         taken.add(a, b)
 
-    if "@" in text or MAIL_GATE.search(text):
-        for m in EMAIL.finditer(text):
+    low = text.lower()
+    spelled = any(w in low for w in MAIL_WORDS) and MAIL_GATE.search(text) is not None
+    places = [(0, len(text))] if spelled else [(a, b) for _, _, a, b in _regions(text, AT, 96, 160)] if "@" in text else []
+    for a, b in places:
+        for m in EMAIL.finditer(text, a, b):
             line = text[text.rfind("\n", 0, m.start()) + 1 : m.start()]
             after = text[m.end() : m.end() + 2]
             if NOT_MAILBOX_BEFORE.search(line) or after[:1] == ":" and after[1:2] not in ("", " ", "\n", "\r", '"') or after[:1] == "/":
@@ -482,7 +485,7 @@ def scan_text(text: str | None, words: Words = Words()) -> Scan:
                 continue
             take(m.start(), m.end(), "email")
             mailboxes.add(re.sub(r"[_-]", ".", _key(m.group("local"))))
-    named = ID_WORD.search(text) is not None
+    named = any(w in low for w in ID_HINTS)
     for line, _, start, stop in _regions(text, NUMBER_GATE, 96, 40):
         _numbers(text, line, start, stop, take, taken, named)
     for _, _, start, stop in _regions(text, ADDRESS_GATE, 96, 160):
@@ -496,7 +499,12 @@ def scan_text(text: str | None, words: Words = Words()) -> Scan:
                 take(a, b, "street_address")
     other_script = not text.isascii() and OTHER_LETTERS.search(text) is not None
     for line, end, start, stop in _regions(text, NAME_GATE, 64, 80):
-        _names(text, taken, line, end, start, stop, words, scan, mailboxes, other_script)
+        _names(text, taken, line, end, start, stop, words, scan, mailboxes)
+    if other_script:
+        for m in OTHER_SCRIPT.finditer(text):
+            a, b = m.span(m.lastgroup)
+            if taken.free(a, b):
+                take(a, b, "person_name")
     scan.items.sort()
     scan.doubtful = [c for c in sorted(set(scan.doubtful), key=lambda c: (c.start, -c.end)) if taken.free(c.start, c.end)]
     return scan
