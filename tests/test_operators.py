@@ -228,7 +228,7 @@ def test_file_trees_archives_and_new_files(spark, tmp_path):
     (tmp_path / "t/c.bin").write_bytes(b"a\x00b")
     (tmp_path / "t/node_modules/d.py").write_text("y")
     seen = S.scan_files(spark, str(tmp_path / "t"))
-    assert sorted(r.path.rsplit("/", 1)[1] for r in seen.collect()) == ["a.py", "b.py"]
+    assert sorted((r.path.rsplit("/", 1)[1], r.gap) for r in seen.collect()) == [("a.py", None), ("b.py", None), ("c.bin", "not text")]
     log = spark.createDataFrame([], "md5 string")
     fresh = S.new_files(spark, str(tmp_path / "t"), log)
     assert fresh.count() == 3 and S.new_files(spark, str(tmp_path / "t"), fresh.select("md5")).count() == 0
@@ -260,7 +260,12 @@ def test_statements_manifests_logs_pages(spark):
 def test_captures(spark, tmp_path):
     ip = bytes([0x45, 0, 0, 33, 0, 0, 0, 0, 64, 17, 0, 0, 10, 0, 0, 1, 10, 0, 0, 2])
     frame = b"\x00" * 12 + b"\x08\x00" + ip + struct.pack(">HHHH", 1000, 53, 13, 0) + b"hello"
-    (tmp_path / "x.pcap").write_bytes(b"\xd4\xc3\xb2\xa1" + b"\x00" * 20 + struct.pack("<IIII", 5, 500000, len(frame), len(frame)) + frame + b"\x00\x00")
+    ethernet, raw, unknown = (b"\x00" * 16 + struct.pack("<I", link) for link in (1, 101, 999))
+    record = lambda data, kept=None: struct.pack("<IIII", 5, 500000, kept or len(data), len(data)) + data
+    (tmp_path / "x.pcap").write_bytes(b"\xd4\xc3\xb2\xa1" + ethernet + record(frame) + record(frame[:30]) + record(frame, len(frame) + 9) + b"\x00\x00")
+    (tmp_path / "raw.pcap").write_bytes(b"\xd4\xc3\xb2\xa1" + raw + record(frame[14:]))
+    (tmp_path / "unknown.pcap").write_bytes(b"\xd4\xc3\xb2\xa1" + unknown + record(frame))
+    assert [S.read_captures(spark, str(tmp_path / name)).count() for name in ("raw.pcap", "unknown.pcap")] == [1, 0]
     got = S.read_captures(spark, str(tmp_path / "x.pcap")).collect()
     assert [(r.ts, r.src, r.dst, r.sport, r.dport, r.proto, bytes(r.payload)) for r in got] == [(5.5, "10.0.0.1", "10.0.0.2", 1000, 53, "udp", b"hello")]
 

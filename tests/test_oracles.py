@@ -10,6 +10,10 @@ from weftline.plans import catalog
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
 
+#: Queries without SQL that find nothing in the smallest tables.
+MAY_BE_EMPTY = {"code_flows", "canonical_urls", "fused_urls"}
+
+
 def plain(v):
     if isinstance(v, float):
         return None if math.isnan(v) else round(v, 5)
@@ -44,7 +48,9 @@ def test_query_equals_sql(spark, data, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_runs(spark, data, name):
-    assert QUERIES[name](spark, data).count() >= 0
+    df = QUERIES[name](spark, data)
+    assert len(set(df.columns)) == len(df.columns)
+    assert df.count() > 0 or name in MAY_BE_EMPTY
 
 
 def test_all_sql_belongs_to_a_query():
