@@ -61,7 +61,7 @@ def test_partitions_change_nothing(spark):
 def test_annotators_in_a_table_give_the_same_consensus(spark):
     truth, rows, quality = planted(4, items=120)
     df = spark.createDataFrame(rows, SCHEMA)
-    small, wide = consensus(df, LABELS), consensus(df, LABELS, max_annotators=3, tolerance=0.02)
+    small, wide = consensus(df, LABELS), consensus(df, LABELS, max_annotators=3)
     assert small.converged and wide.converged
     by_driver = {r.item: (r.label, r.voters) for r in small.items.collect()}
     by_table = {r.item: (r.label, r.voters) for r in wide.items.collect()}
