@@ -100,3 +100,31 @@ def test_bigrams_and_entropy_cover_whole_texts(spark, tmp_path):
     for i, e in entropy.items():
         n = len(texts[i])
         assert e == pytest.approx(-sum(c / n * math.log2(c / n) for c in Counter(texts[i]).values()), abs=1e-3)
+
+
+def test_long_chains_end_in_few_jobs(spark):
+    """A ring and a chain through all nodes: round by round each would take hundreds of jobs."""
+    ring, chain = [(i, (i + 1) % 700) for i in range(700)], [(i, i + 1) for i in range(1000, 1700)]
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("long chains", "strong components")
+    try:
+        found = G.strong_components(spark.createDataFrame([*ring, *chain], "src long, dst long"))
+        got = {r.node: r.component for r in found.whole().collect()}
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert got == {i: 0 for i in range(700)} | {i: i for i in range(1000, 1701)}
+    assert found.rounds == 1 and len(jobs.getJobIdsForGroup("long chains")) < 60
+
+
+@pytest.mark.parametrize("one_task", [1, 6])
+def test_strong_components_by_pieces_equal_those_of_one_task(spark, monkeypatch, one_task):
+    rnd = random.Random(11)
+    edges = [(str(rnd.randrange(18)), str(rnd.randrange(18))) for _ in range(24)] + [("x", "x"), (None, "1"), ("1", None)]
+    known = [e for e in edges if None not in e]
+    far = {x: reach(known, x) for x in {y for e in known for y in e}}
+    want = {x: min(y for y in far[x] if x in far[y]) for x in far}
+    df = spark.createDataFrame(edges, "src string, dst string")
+    assert {r.node: r.component for r in G.strong_components(df).whole().collect()} == want
+    monkeypatch.setattr(G, "ONE_TASK", one_task)
+    found = G.strong_components(df)
+    assert {r.node: r.component for r in found.whole().collect()} == want and found.rounds > 1
