@@ -128,3 +128,26 @@ def test_strong_components_by_pieces_equal_those_of_one_task(spark, monkeypatch,
     monkeypatch.setattr(G, "ONE_TASK", one_task)
     found = G.strong_components(df)
     assert {r.node: r.component for r in found.whole().collect()} == want and found.rounds > 1
+
+
+@pytest.mark.parametrize("one_task", [0, 1 << 19])
+def test_reachable_in_one_task_equals_rounds(spark, monkeypatch, one_task):
+    monkeypatch.setattr(G, "ONE_TASK", one_task)
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (1, 3), (3, 4), (7, 1), (None, 5), (4, None)], "src int, dst int")
+    starts = spark.createDataFrame([(1,), (None,), (9,), (1 << 40,)], "n long")
+    found = G.reachable(edges, starts)
+    assert sorted(map(tuple, found.whole().collect())) == [(1, 0), (2, 1), (3, 1), (4, 2), (9, 0), (1 << 40, 0)]
+    assert [(f.name, f.dataType.simpleString()) for f in found.rows.schema] == [("node", "bigint"), ("hops", "int")]
+    assert {r.node: r.hops for r in G.impacted(edges, spark.createDataFrame([(3,)], "n int")).whole().collect()} == {3: 0, 2: 1, 1: 1, 7: 2}
+    assert G.reachable(edges.limit(0), starts).whole().count() == 3 and G.reachable(edges, starts.limit(0)).whole().count() == 0
+
+
+def test_impact_over_a_long_chain_takes_few_jobs(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(600)], "src long, dst long")
+    spark.sparkContext.setJobGroup("impact", "impact")
+    try:
+        got = {r.node: r.hops for r in G.impacted(edges, spark.createDataFrame([(600,)], "n long")).whole().collect()}
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert got == {i: 600 - i for i in range(601)}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("impact")) < 40
