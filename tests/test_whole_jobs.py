@@ -151,3 +151,27 @@ def test_impact_over_a_long_chain_takes_few_jobs(spark):
         spark.sparkContext._jsc.clearJobGroup()
     assert got == {i: 600 - i for i in range(601)}
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("impact")) < 40
+
+
+def test_facts_are_carried_further_than_300_edges(spark, tmp_path):
+    n = 10_000
+    spark.range(n).selectExpr("id AS s_suppkey", "cast(id % 5 AS int) AS s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    behind = {i: {i * 3 % n + 1} | ({i * 5 % n + 2} if i % 3 == 0 else set()) for i in range(n)}
+    want, deepest = set(), 0
+    for s in range(4):
+        hops = G.walk(behind, [s])
+        deepest = max(deepest, *hops.values())
+        want |= {(x, f"nation-{s % 5}") for x in hops}
+    got = [tuple(r) for r in catalog.queries()["graph_propagation"](spark, str(tmp_path)).collect()]
+    assert deepest > 300 and len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("one_task", [0, 16, 1 << 19])
+def test_propagation_in_tasks_equals_rounds(spark, monkeypatch, one_task):
+    monkeypatch.setattr(G, "ONE_TASK", one_task)
+    edges = spark.createDataFrame([(i, (i + 1) % 5) for i in range(5)] + [(7, 0), (None, 9), (8, None), (0, 1)], "src int, dst int")
+    facts = spark.createDataFrame([(0, "a"), (7, None), (None, "b"), (8, "c"), (6, "d"), (0, "a")], "node long, fact string")
+    ring = range(5)
+    want = {(i, "a") for i in ring} | {(i, None) for i in ring} | {(7, None), (None, "b"), (8, "c"), (None, "c"), (6, "d")}
+    got = [tuple(r) for r in G.propagate(facts, edges).whole().collect()]
+    assert len(got) == len(want) and set(got) == want
