@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.operators import corpus as C
 from weftline.operators import graph as G
@@ -175,3 +176,32 @@ def test_propagation_in_tasks_equals_rounds(spark, monkeypatch, one_task):
     want = {(i, "a") for i in ring} | {(i, None) for i in ring} | {(7, None), (None, "b"), (8, "c"), (None, "c"), (6, "d")}
     got = [tuple(r) for r in G.propagate(facts, edges).whole().collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_multisets_are_sorted_once(spark):
+    """The array inside the inner function was made again, parsed and sorted, for every item."""
+    from weftline.functions import text as T
+
+    df = spark.createDataFrame([(" ".join(f"name{i % 7}" for i in range(20)),), ("",), (None,)], "t string").select(T.numbered(T.words(F.col("t"))).alias("n"))
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 1
+    assert [r.n and sorted(r.n) for r in df.collect()] == [sorted(f"name{i % 7}#{i // 7 - 1}" for i in range(20)), [], None]
+
+
+@pytest.mark.parametrize("least", [0.5, 0.6, 0.75, 0.8, 1.0])
+def test_similar_sets_of_any_size_are_linked(spark, least):
+    rnd = random.Random(9)
+    sets = []
+    for _ in range(120):
+        size = rnd.choice([1, 2, 3, 4, 8, 16, 20, 60, 400])
+        base = set(rnd.choice(sets)) if sets and rnd.random() < 0.7 else {f"x{rnd.randrange(900)}" for _ in range(size)}
+        for _ in range(rnd.randrange(1 + len(base) // 3)):
+            base.discard(rnd.choice(sorted(base)))
+            base |= {f"x{rnd.randrange(900)}"} if rnd.random() < 0.5 else set()
+        sets.append(frozenset(base))
+    got = {r.i: (r.group, r.links) for r in C.near_duplicates(spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "i int, s array<string>"), "i", F.lit(""), least=least, shingles=F.col("s")).collect()}
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(s if s else i, i)
+    near = lambda a, b: a != b and a and b and len(a & b) >= least * len(a | b)
+    distinct = [s for s in first if isinstance(s, frozenset)]
+    assert got == {i: (first[s if s else i], sum(bool(near(s, o)) for o in distinct)) for i, s in enumerate(sets)}

@@ -50,8 +50,9 @@ def code_words(text: Column, stops: list[str]) -> Column:
 
 def numbered(items: Column) -> Column:
     """The items with the number of their occurrence, so that sets of them are multisets: sorted, each behind its place among its equals."""
-    ordered = F.array_sort(items)
-    return F.transform(ordered, lambda x, i: F.concat(x, F.lit("#"), (i - F.array_position(ordered, x).cast("int")).cast("string")))
+    # the sorted array is bound as the one item of an outer array: inside the inner function it would be made again for every item
+    number = lambda ordered: F.transform(ordered, lambda x, i: F.concat(x, F.lit("#"), (i - F.array_position(ordered, x).cast("int")).cast("string")))
+    return F.transform(F.array(F.array_sort(items)), number)[0]
 
 
 def canonical_json(*columns: str) -> Column:

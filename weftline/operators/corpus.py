@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,26 +84,34 @@ def near_duplicates(df: DataFrame, row: str, text: Column, *, words: int = 5, le
     """row, group, links: row's class of equal shingle sets, and the number of other classes with a similarity of `least` or more.
 
     Similarity is the Jaccard measure of word shingles. Rows with the same set form one class, so copies are never paired.
-    Two similar sets share a shingle among the rarest |S| - ceil(least |S|) + 1 of each, hence only those are joined, and the
-    sizes must fit; every candidate is then verified on its whole sets. Texts without a shingle stand alone.
+    Two similar sets share a shingle among the rarest |S| - ceil(least |S|) + 1 of each, hence only those are joined, by their hash and within
+    neighbouring steps of size. Sizes must fit, and so must 256 bits of each set: every shingle turns over one bit, so the bits in which two sets
+    differ are never more than the shingles in which they do. Every candidate is then verified on its whole sets. Texts without a shingle stand alone.
     """
     sets = df.select(row, F.array_sort(F.array_distinct(T.ngrams(T.words(text), words) if shingles is None else shingles)).alias("_s"))
     keyed = sets.withColumn("_k", F.when(F.size("_s") > 0, F.sha2(F.array_join("_s", "\n"), 256)))
     members = keyed.where("_k is not null").groupBy("_k").agg(F.min(row).alias("group"), F.any_value("_s").alias("_s"))
-    frequency = members.select(F.explode("_s").alias("_t")).groupBy("_t").agg(F.count(F.lit(1)).alias("_f"))
-    ranked = members.select("group", F.explode("_s").alias("_t")).join(frequency, "_t").groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("_f", "_t"))), lambda x: x["_t"]).alias("_o"))
+    placed = members.select("group", F.explode("_s").alias("_t")).select("group", F.xxhash64("_t").alias("_t"))
+    frequency = placed.groupBy("_t").agg(F.count(F.lit(1)).alias("_f"))
+    # the low bits of the hash choose one bit of four words
+    bits = [F.bit_xor(F.expr(f"if(shiftright(_t, 6) & 3 = {i}, shiftleft(1L, cast(_t & 63 as int)), 0L)")).alias(f"_w{i}") for i in range(4)]
+    ranked = placed.join(frequency, "_t").groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("_f", "_t"))), lambda x: x["_t"]).alias("_o"), *bits)
     n = F.size("_o")
-    prefix = ranked.select("group", n.alias("_n"), F.explode(F.slice("_o", F.lit(1), (n - F.ceil(n * least) + 1).cast("int"))).alias("_t"))
-    a = prefix.select(F.col("group").alias("a"), F.col("_n").alias("_na"), "_t")
-    b = prefix.select(F.col("group").alias("b"), F.col("_n").alias("_nb"), F.col("_t").alias("_u"))
-    fits = (F.col("_na") >= least * F.col("_nb")) & (F.col("_nb") >= least * F.col("_na"))
-    pairs = a.join(b, (F.col("_t") == F.col("_u")) & (F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    # a step is a little more than log(1 / least), so that sizes that fit lie in the same step or the next
+    step = F.floor(F.log(n.cast("double")) / max(-math.log(least) * (1 + 1e-6), 1e-3))
+    prefix = ranked.select("group", n.alias("_n"), step.alias("_z"), *[f"_w{i}" for i in range(4)], F.explode(F.slice("_o", F.lit(1), (n - F.ceil(n * least - 1e-9) + 1).cast("int"))).alias("_t"))
+    side = lambda x, z: prefix.select(F.col("group").alias(x), F.col("_n").alias(f"_n{x}"), z.alias(f"_z{x}"), F.col("_t").alias(f"_t{x}"), *[F.col(f"_w{i}").alias(f"_w{i}{x}") for i in range(4)])
+    a, b = side("a", F.col("_z")), side("b", F.explode(F.array(F.col("_z"), F.col("_z") - 1)))
+    smaller = (F.col("_na") < F.col("_nb")) | ((F.col("_na") == F.col("_nb")) & (F.col("a") < F.col("b")))
+    differ = sum((F.bit_count(F.col(f"_w{i}a").bitwiseXOR(F.col(f"_w{i}b"))) for i in range(1, 4)), F.bit_count(F.col("_w0a").bitwiseXOR(F.col("_w0b"))))
+    fits = smaller & (F.col("_na") >= least * F.col("_nb")) & (differ * (1 + least) <= (F.col("_na") + F.col("_nb")) * (1 - least) + 1e-6)
+    pairs = a.join(b, (F.col("_ta") == F.col("_tb")) & (F.col("_za") == F.col("_zb")) & fits).select("a", "b").distinct()
     own = members.select("group", "_s")
     checked = pairs.join(own.select(F.col("group").alias("a"), F.col("_s").alias("_x")), "a").join(own.select(F.col("group").alias("b"), F.col("_s").alias("_y")), "b")
     common = F.size(F.array_intersect("_x", "_y"))
     similar = checked.where(common >= least * (F.size("_x") + F.size("_y") - common)).select("a", "b")
     links = similar.select(F.explode(F.array("a", "b")).alias("_g")).groupBy("_g").agg(F.count(F.lit(1)).alias("links"))
-    classes = keyed.join(members.select("_k", "group"), "_k", "left").select(row, F.coalesce("group", row).alias("group"))
+    classes = keyed.select(row, "_k").join(members.select("_k", "group"), "_k", "left").select(row, F.coalesce("group", row).alias("group"))
     return classes.join(links, F.col("group") == F.col("_g"), "left").select(row, "group", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
 
 
